@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators.archetypes import attach_archetype, site_archetypes
 from ..operators.blocking import blocked_features
-from ..sources.meter import meter_view
+from ..operators import features as FE
+from ..operators import metrics as M
+from ..operators import selection as SEL
+from ..operators import split as SP
+from ..sources.meter import meter_view, time_holdout
 from . import oracle as O
+from . import oracle_plans as OP
 from .present import present, sql_round
+from .profile import profile_submission
 
 # Feature families (survey section 2.3/2.4 rows).
 FAMILIES: dict[str, list[str]] = {
@@ -95,7 +101,18 @@ COVERS = {
     "ewm_features": "W14",
     "state_transitions": "W15-W17",
     "window_interactions": "F28",
+    "temporal_split": "P5, A3",
+    "class_weights": "A6, P9",
+    "archetype_subsets": "P4, J1",
+    "correlation_pairs": "A4",
+    "correlated_drops": "A5",
+    "classifier_features": "M1, A5, A7",
+    "profile_submission": "V1-V4, P7, P9, P10, J2-J4, S5 order",
+    "confusion_matrix": "E1",
+    "classification_scores": "E2, E3",
+    "regression_errors": "E4",
 }
+HOLDOUT_DAYS = 61
 
 
 def featured_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +136,78 @@ def q_site_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(site_archetypes(meter_view(spark, sf_dir)))
 
 
+def q_temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = SP.temporal_split(meter_view(spark, sf_dir))
+    return present(marked.groupBy(C.SITE).agg(
+        F.sum(F.col(SP.FIT)).alias("n_fit"), F.sum(1 - F.col(SP.FIT)).alias("n_validation")))
+
+
+def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(SP.balanced_class_weights(SP.with_label(meter_view(spark, sf_dir))))
+
+
+def q_archetype_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meter = meter_view(spark, sf_dir)
+    arch = site_archetypes(meter)
+    parts = [SP.restrict_to_archetype(meter, arch, a)
+             .agg(F.countDistinct(C.SITE).alias("n_sites"), F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(a).alias("site_archetype"), "n_sites", "n_rows")
+             for a in C.ARCHETYPES]
+    out = parts[0].unionByName(parts[1])
+    return present(out.where(F.col("n_rows") > 0))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=FE.BASELINE)
+    return SEL.pairwise_abs_corr(feats, SEL.correlation_candidates())
+
+
+def q_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(_pairs(spark, sf_dir).select("feature_i", "feature_j", "abs_corr"))
+
+
+def q_correlated_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SEL.correlated_drops(_pairs(spark, sf_dir)).select("feature")
+
+
+def q_classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dropped = [r["feature"] for r in q_correlated_drops(spark, sf_dir).collect()]
+    stable = SEL.stable_baseline(SEL.correlation_candidates(), dropped)
+    clf, _ = SEL.build_feature_lists(stable, SEL.correlation_candidates() + FE.FULL_ONLY)
+    return spark.createDataFrame([(k, f) for k, f in enumerate(clf)], "position long, feature string")
+
+
+def _holdout(spark: SparkSession, sf_dir: str):
+    meter = meter_view(spark, sf_dir)
+    train, test = time_holdout(meter, HOLDOUT_DAYS)
+    truth = meter.join(test.select(C.SITE, C.ROW_ID), [C.SITE, C.ROW_ID], "left_semi") \
+                 .select(C.SITE, C.ROW_ID, F.col(C.FLAG).alias("true_flag"), F.col(C.CAP).alias("true_cap"))
+    return train, test, truth
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, truth = _holdout(spark, sf_dir)
+    sub = profile_submission(train, test)
+    return sub.join(truth, [C.SITE, C.ROW_ID])
+
+
+def q_profile_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, _ = _holdout(spark, sf_dir)
+    return present(profile_submission(train, test).select(*C.SUBMISSION_COLUMNS))
+
+
+def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(M.confusion(_scored(spark, sf_dir), "true_flag", C.FLAG))
+
+
+def q_classification_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(M.classification_scores(M.confusion(_scored(spark, sf_dir), "true_flag", C.FLAG)))
+
+
+def q_regression_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(M.regression_errors(_scored(spark, sf_dir), "true_cap", C.CAP))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "meter_view": q_meter_view,
@@ -126,6 +215,18 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, cols in FAMILIES.items():
         q[name] = family_query(cols)
+    q.update({
+        "temporal_split": q_temporal_split,
+        "class_weights": q_class_weights,
+        "archetype_subsets": q_archetype_subsets,
+        "correlation_pairs": q_correlation_pairs,
+        "correlated_drops": q_correlated_drops,
+        "classifier_features": q_classifier_features,
+        "profile_submission": q_profile_submission,
+        "confusion_matrix": q_confusion_matrix,
+        "classification_scores": q_classification_scores,
+        "regression_errors": q_regression_errors,
+    })
     return q
 
 
@@ -140,6 +241,18 @@ def sql_queries() -> dict[str, str]:
     }
     for name, cols in FAMILIES.items():
         q[name] = O.features_sql(cols, decimals=LOOSE)
+    q.update({
+        "temporal_split": OP.temporal_split_sql(),
+        "class_weights": OP.class_weights_sql(),
+        "archetype_subsets": OP.archetype_subsets_sql(),
+        "correlation_pairs": OP.corr_pairs_sql(),
+        "correlated_drops": OP.corr_drops_sql(),
+        "classifier_features": OP.classifier_features_sql(),
+        "profile_submission": OP.profile_submission_sql(),
+        "confusion_matrix": OP.confusion_sql(),
+        "classification_scores": OP.classification_scores_sql(),
+        "regression_errors": OP.regression_errors_sql(),
+    })
     return q
 
 

@@ -248,14 +248,10 @@ ewm_rec({S}, idx, {', '.join(f'y{i}, w{i}' for i in range(len(specs)))}) AS (
 ewm AS (SELECT {S}, idx, {outs} FROM ewm_rec)"""
 
 
-def features_sql(names: list[str], keys: list[str] | None = None,
-                 decimals: dict[str, int] | None = None, where: str | None = None) -> str:
-    """SQL computing the given features for every meter row, output columns
-    ``keys`` + names (presented)."""
-    keys = keys or ["Site", "row_id"]
-    decimals = decimals or {}
+def features_core(names: list[str], where: str | None = None) -> str:
+    """CTE chain ending in ``f4`` (every meter row with all stage columns)
+    and, when EWM columns are asked for, ``f5`` = f4 joined with them."""
     local, win, s3, s4 = row_local_sql(), window_sql(), stage3_sql(), stage4_sql()
-    kinds = FE.feature_kinds()
     need_ewm = any("ewm" in n for n in names)
     base_filter = f"WHERE {where}" if where else ""
     local_cols = ",\n    ".join(f'{e} AS "{n}"' for n, e in local.items())
@@ -264,8 +260,6 @@ def features_sql(names: list[str], keys: list[str] | None = None,
     s4_cols = ",\n    ".join(f'{e} AS "{n}"' for n, e in s4.items())
     ewm_part = ewm_sql("b") + "," if need_ewm else ""
     ewm_join = f"LEFT JOIN ewm USING ({S}, idx)" if need_ewm else ""
-    key_sql = ", ".join(f'f4."{k}"' for k in keys)
-    out = ", ".join([key_sql] + [sql_present(n, kinds.get(n, "double"), decimals.get(n, 6)) for n in names])
     return f"""WITH RECURSIVE {METER},
 {ARCHETYPES},
 b0 AS (
@@ -296,6 +290,26 @@ f4 AS (
   SELECT f3.*,
     {s4_cols}
   FROM f3
-)
+),
+f5 AS (SELECT * FROM f4 {ewm_join})"""
+
+
+def features_sql(names: list[str], keys: list[str] | None = None,
+                 decimals: dict[str, int] | None = None, where: str | None = None) -> str:
+    """SQL computing the given features for every meter row, output columns
+    ``keys`` + names (presented)."""
+    keys = keys or ["Site", "row_id"]
+    decimals = decimals or {}
+    kinds = FE.feature_kinds()
+    key_sql = ", ".join(f'"{k}"' for k in keys)
+    out = ", ".join([key_sql] + [sql_present(n, kinds.get(n, "double"), decimals.get(n, 6)) for n in names])
+    return f"""{features_core(names, where)}
 SELECT {out}
-FROM f4 {ewm_join}"""
+FROM f5"""
+
+
+def features_sql_raw(names: list[str], where: str | None = None) -> str:
+    """CTE chain ending in ``feats``: raw readings + the named features."""
+    cols = ", ".join(f'"{n}"' for n in list(C.RAW_NUMERIC) + list(names))
+    return f"""{features_core(names, where)},
+feats AS (SELECT {cols} FROM f5)"""
