@@ -46,7 +46,7 @@ agg AS (SELECT {', '.join(pairs)} FROM feats),
 long AS (SELECT * FROM agg UNPIVOT INCLUDE NULLS (r FOR pair IN (COLUMNS(*)))),
 parsed AS (SELECT CAST(split_part(pair, '|', 1) AS INTEGER) AS i,
                   CAST(split_part(pair, '|', 2) AS INTEGER) AS j,
-                  CASE WHEN isnan(r) THEN NULL ELSE least(abs(r), 1.0) END AS r FROM long)
+                  CASE WHEN r IS NULL OR isnan(r) THEN NULL ELSE least(abs(r), 1.0) END AS r FROM long)
 SELECT [{names}][i + 1] AS feature_i, [{names}][j + 1] AS feature_j,
        {sql_round('r')} AS abs_corr
 FROM parsed"""
