@@ -215,7 +215,8 @@ def q_model_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .models import ModelParams
     from .pipeline import run
     train, test, _ = _holdout(spark, sf_dir)
-    sub, _ = run(spark, train, test, params=ModelParams(clf_iter=5, rf_trees=5, reg_iter=5))
+    sub, _ = run(spark, train, test, params=ModelParams(clf_iter=3, clf_depth=4, rf_trees=5, rf_depth=6,
+                                                        reg_iter=3, reg_depth=4, reg_b_depth=4))
     return present(sub.select(*C.SUBMISSION_COLUMNS))
 
 
