@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The original pipeline is batch only (online learning is named as future
+work, nothing more), so no watermark, event-time window or stateful
+operator has a counterpart to rebuild here.
+"""
