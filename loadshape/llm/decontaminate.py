@@ -193,6 +193,8 @@ def shard_hits(texts: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarr
     the sorted item ids."""
     nothing = (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
     out = [nothing] * len(texts)
+    if not windows.patterns:
+        return out
     pieces, where, owner = [], [], []
     for i, codes in enumerate(texts):
         at = np.flatnonzero(kept_runs(codes, windows.shortest))
@@ -268,49 +270,48 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ([start, end) pairs) and the ids of the items with a window in the text."""
     spark = docs.sparkSession
     bound_batches(spark)
-    out = docs.withColumn("hit", F.lit(None).cast(HIT_TYPE))
+    out = docs.withColumn("hit", F.struct(
+        F.lit(0).cast("long").alias("n_words"), F.array().cast(HIT_TYPE["spans"].dataType).alias("spans"),
+        F.array().cast("array<long>").alias("items")))
     for items in _benchmark_blocks(benchmark, block_words):
         windows = spark.sparkContext.broadcast(Windows(items, window))  # at most block_words words
-
-        def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]], windows=windows) -> Iterator[pd.DataFrame]:
-            win = windows.value
-            for texts, before in batches:
-                done: list[tuple] = []
-                shard: list[np.ndarray] = []
-                held = 0
-
-                def flush():
-                    nonlocal held
-                    done.extend(shard_hits(shard, win) if win.patterns else
-                                [(np.zeros((0, 2), np.int64), np.zeros(0, np.int64))] * len(shard))
-                    shard.clear()
-                    held = 0
-
-                sizes = []
-                for text in texts:
-                    words = words_of(text)
-                    sizes.append(len(words))
-                    shard.append(np.fromiter(map(win.vocabulary.get, words, repeat(0)), np.int64, len(words)))
-                    held += len(words)
-                    if held >= shard_words:
-                        flush()
-                flush()
-                spans = [[x.tolist() for x in s] for s, _ in done]
-                found = [i.tolist() for _, i in done]
-                for k, (s, i) in enumerate(zip(before["spans"], before["items"])):
-                    if s is not None and len(s):
-                        spans[k] = merged([*spans[k], *[list(x) for x in s]])
-                    if i is not None and len(i):
-                        found[k] = sorted({*found[k], *map(int, i)})
-                yield pd.DataFrame({"n_words": sizes, "spans": spans, "items": found})
-
-        udf = F.pandas_udf(search, HIT_TYPE)
-        empty = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(HIT_TYPE["spans"].dataType).alias("spans"),
-                         F.array().cast("array<long>").alias("items"))
-        out = out.withColumn("hit", udf(F.col("text").cast("binary"), F.coalesce("hit", empty)))
+        out = out.withColumn("hit", block_search(windows, shard_words)(F.col("text").cast("binary"), F.col("hit")))
     return out
 
 
+def block_search(windows, shard_words: int):
+    """Pandas UDF (text, hits so far) -> hits with those of one benchmark block."""
+
+    @F.pandas_udf(HIT_TYPE)
+    def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, before in batches:
+            sizes, found = batch_hits(texts, windows.value, shard_words)
+            spans, items = [s.tolist() for s, _ in found], [i.tolist() for _, i in found]
+            for k, (s, i) in enumerate(zip(before["spans"], before["items"])):
+                if len(s):
+                    spans[k] = merged([*spans[k], *[list(x) for x in s]])
+                if len(i):
+                    items[k] = sorted({*items[k], *map(int, i)})
+            yield pd.DataFrame({"n_words": sizes, "spans": spans, "items": items})
+
+    return search
+
+
+def batch_hits(texts, windows: Windows, shard_words: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Word counts and hits of a batch of texts, cut into shards of about
+    ``shard_words`` words; a shard has at least one whole document."""
+    sizes, found, shard, held = [], [], [], 0
+    for text in texts:
+        words = words_of(text)
+        sizes.append(len(words))
+        shard.append(np.fromiter(map(windows.vocabulary.get, words, repeat(0)), np.int64, len(words)))
+        held += len(words)
+        if held >= shard_words:
+            found += shard_hits(shard, windows)
+            shard, held = [], 0
+    return sizes, found + shard_hits(shard, windows)
+
+
 def contamination_report(hits: DataFrame) -> DataFrame:
     """Per document: word counts, items digest and the contamination verdict."""
     n_hit = F.aggregate("hit.spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
