@@ -48,7 +48,7 @@ from loadshape.llm.shared import bound_batches, shared_path, whole_groups, write
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Windows per piece of text sent to a shard: one bit each in a 64-bit mask.
 PIECE = 32
 
@@ -123,12 +123,14 @@ def earlier_factor_lengths(text: np.ndarray, starts: np.ndarray, rank: np.ndarra
     order. Lengths below ``length`` are reported as 0."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(text, length)[starts]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts])
+    order = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
     rows, ranked = rows[order], rank[order]
-    differ = rows[1:] != rows[:-1]
     lcp = np.zeros(len(order), np.int64)
-    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    for at in range(1, len(order), 1 << 16):  # in slices: the comparison is as large as the text
+        differ = rows[at: at + (1 << 16)] != rows[at - 1: at - 1 + len(rows[at: at + (1 << 16)])]
+        lcp[at: at + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    del rows
     back = smaller_neighbour_lengths(ranked, lcp, length)
     ahead = smaller_neighbour_lengths(ranked[::-1], np.concatenate([[0], lcp[:0:-1]]), length)[::-1]
     out = np.empty(len(order), np.int64)
