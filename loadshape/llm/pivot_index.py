@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadshape.llm.shared import bound_batches, components, local_components, whole_groups, write_shared
+from loadshape.llm.shared import all_rows, bound_batches, components, local_components, whole_groups, write_shared
 
 THRESHOLD = 0.93
 PIVOTS = 128
@@ -65,8 +65,8 @@ def fit_pivots(nodes: DataFrame, pivots: int = PIVOTS, rows: int = SAMPLE_ROWS)
     sample drawn by hash; at most ``pivots`` vectors a dimension return."""
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True).sort_values("node")
-        for dim, part in frame.groupby("dim"):
+        frame = all_rows(frames)
+        for dim, part in [] if frame is None else frame.sort_values("node").groupby("dim"):
             points = distant_points(unit(np.stack(part["embedding"].to_list())), pivots)
             yield pd.DataFrame({"dim": [dim], "points": [points.astype(np.float64).tobytes()]})
 

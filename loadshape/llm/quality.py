@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadshape.llm.shared import bound_batches
+from loadshape.llm.shared import all_rows, bound_batches
 
 BUCKET_BITS = 16
 DIM = 16
@@ -189,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     sample = labelled_sample(docs, labels, label, folds, fold, rows)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([f for f in frames], ignore_index=True).sort_values("doc_id")
+        frame = all_rows(frames)
+        if frame is None:
+            return
+        frame = frame.sort_values("doc_id")
         table, intercept = train([t or "" for t in frame["text"]], frame["y"].tolist(), seed=seed)
         yield pd.DataFrame({"model": [table.tobytes()], "intercept": [intercept]})
 

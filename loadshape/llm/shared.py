@@ -43,8 +43,10 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.agg(F.count(F.lit(1))).first()[0]
+def all_rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """One frame of all (None if there are none), for bounded samples only."""
+    found = [f for f in frames if len(f)]
+    return pd.concat(found, ignore_index=True) if found else None
 
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -79,7 +81,8 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of an edge table (a long, b long) as
-    (node, root), root = smallest node id, for every node with an edge.
+    (node, root), root = smallest node id, for every node that has an edge and
+    isn't a root itself.
 
     Alternating large-star and small-star steps: each is a map-side combined
     minimum per node and a join back, edges never grow in number, and hubs are

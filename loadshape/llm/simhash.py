@@ -149,8 +149,8 @@ def bucket_keys(max_bits: int):
 
 
 def near_duplicates(prints: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(fp, root fp) for every distinct fingerprint of ``prints`` that links
-    with another one."""
+    """(fp, root_fp) for every distinct fingerprint of ``prints`` that links
+    with another one; the roots themselves are left out."""
     keyed = write_shared(
         prints.select("fp").distinct().select("fp", F.explode(bucket_keys(max_bits)).alias("bucket")), "simhash-keys")
     sizes = (

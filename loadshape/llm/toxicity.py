@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadshape.llm.quality import held_out
-from loadshape.llm.shared import bound_batches
+from loadshape.llm.shared import all_rows, bound_batches
 
 #: Bound of the training sample: rows of each label.
 SAMPLE_ROWS = 2500
@@ -282,7 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     )
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([f for f in frames], ignore_index=True)
+        frame = all_rows(frames)
+        if frame is None:
+            return
         frame["order"] = [int(d) * 2654435761 % 2 ** 32 for d in frame["doc_id"]]
         frame = frame.sort_values(["order", "doc_id"])
         yield pd.DataFrame({"model": [pickle.dumps(train([t or "" for t in frame["text"]], frame["y"].astype(int).tolist()))]})
