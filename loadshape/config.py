@@ -58,22 +58,22 @@ MAX_LOOKBACK = 672
 CORR_THRESHOLD = 0.98
 ALWAYS_DROP = ["power_roll_std_56", "power_roll_mean_144"]
 
-CLASSIFIER_FEATURES_TO_REMOVE = [
+CLASSIFIER_OUT = [
     "month", "power_roll_mean_96", "power_roll_std_56", "power_roll_mean_144",
     "power_lag_96", "temp_lag_48", "power_roll_std_4", "temp_lag_144",
     "archetype_large", "archetype_small",
 ]
-CLASSIFIER_FEATURES_TO_ADD = [
+CLASSIFIER_IN = [
     "hour_cos", "day_of_week_cos", "is_last_work_hour", "is_mild_temp_workday",
     "temp_roll_min_24", "rad_diff_1", "rad_diff_4", "is_transition_to_work",
     "is_transition_from_work", "state_Workday_OffHours", "rad_roll_sum_48",
     "power_zscore_96",
 ]
-REGRESSOR_FEATURES_TO_REMOVE = [
+REGRESSOR_OUT = [
     "archetype_small_power_interaction", "Dry_Bulb_Temperature_C",
     "power_roll_std_56", "power_roll_mean_144",
 ]
-REGRESSOR_FEATURES_TO_ADD = [
+REGRESSOR_IN = [
     "temp_ewm_span_24", "temp_x_power_lag_96", "temp_x_hour_sin",
     "archetype_large_power_interaction", "power_ewm_span_8", "temp_bins_warm",
     "temp_roll_std_8", "temp_roll_min_24", "temp_diff_24", "power_pct_change_4",
@@ -123,7 +123,6 @@ REGRESSOR_EXTRA = [
 # Labels, split and ensemble weights.
 # ---------------------------------------------------------------------------
 VALIDATION_DAYS = 31
-CLASS_OF_FLAG = {-1: 0, 0: 1, 1: 2}   # classifier label = flag + 1
 LGB_WEIGHT, XGB_WEIGHT = 0.7, 0.3     # family A / family B blend
 GLOBAL_WEIGHT, ARCHETYPE_WEIGHT = 0.9, 0.1
 NUM_CLASSES = 3

@@ -93,6 +93,7 @@ COVERS = {
     "power_rolling_full": "W4, W9 (cumsum), F29-F31",
     "temp_rolling_partial": "W5, W6",
     "power_rolling_order": "W7, W8",
+    "blocked_windows": "W1, W2, W3, W7, W9, W13, W15-W17 across block borders",
     "rolling_sums": "W9",
     "rolling_moments": "W10, W11",
     "rolling_slope": "W12",
@@ -106,12 +107,12 @@ COVERS = {
     "archetype_subsets": "P4, J1",
     "correlation_pairs": "A4",
     "correlated_drops": "A5",
-    "classifier_features": "M1, A5, A7",
-    "profile_submission": "V1-V4, P7, P9, P10, J2-J4, S5 order",
+    "classifier_features": "M1, A5",
+    "profile_submission": "V1-V4, P7, P9, P10, J2-J4",
     "confusion_matrix": "E1",
     "classification_scores": "E2, E3",
     "regression_errors": "E4",
-    "model_submission": "M1-M12, J2-J4, V1-V4 (rows only)",
+    "model_submission": "M1-M7, M10-M12, J2-J4, V1-V4 (rows only)",
 }
 HOLDOUT_DAYS = 61
 
@@ -121,6 +122,18 @@ def featured_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_archetype(meter, site_archetypes(meter))
 
 
+#: Look-backs of up to 150 rows, and the carries across blocks.
+BLOCKED = ["power_lag_144", "temp_diff_96", "power_roll_min_96", "power_roll_max_144", "rad_roll_sum_48",
+           "power_percentile_96", "power_pct_change_96", "state_changed", "is_transition_to_work",
+           "time_since_last_transition"]
+
+
+def q_blocked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over small blocks with a short halo: many blocks per site."""
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=BLOCKED, block_rows=200, halo=150)
+    return present(feats.select(C.SITE, C.ROW_ID, *[F.col(f"`{n}`") for n in BLOCKED]), LOOSE)
+
+
 def family_query(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         mm = featured_meter(spark, sf_dir)
@@ -173,8 +186,7 @@ def q_correlated_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = [r["feature"] for r in q_correlated_drops(spark, sf_dir).collect()]
-    stable = SEL.stable_baseline(SEL.correlation_candidates(), dropped)
-    clf, _ = SEL.build_feature_lists(stable, SEL.correlation_candidates() + FE.FULL_ONLY)
+    clf = SEL.edited_list(SEL.surviving(SEL.correlation_candidates(), dropped), C.CLASSIFIER_OUT, C.CLASSIFIER_IN)
     return spark.createDataFrame([(k, f) for k, f in enumerate(clf)], "position long, feature string")
 
 
@@ -227,6 +239,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, cols in FAMILIES.items():
         q[name] = family_query(cols)
+    q["blocked_windows"] = q_blocked_windows
     q.update({
         "temporal_split": q_temporal_split,
         "class_weights": q_class_weights,
@@ -254,6 +267,7 @@ def sql_queries() -> dict[str, str]:
     }
     for name, cols in FAMILIES.items():
         q[name] = O.features_sql(cols, decimals=LOOSE)
+    q["blocked_windows"] = O.features_sql(BLOCKED, decimals=LOOSE)
     q.update({
         "temporal_split": OP.temporal_split_sql(),
         "class_weights": OP.class_weights_sql(),

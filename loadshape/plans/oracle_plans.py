@@ -61,8 +61,8 @@ SELECT DISTINCT feature_j AS feature FROM pairs WHERE abs_corr > {C.CORR_THRESHO
 def classifier_features_sql() -> str:
     cands = correlation_candidates()
     cand_rows = ", ".join(f"({k}, '{c}')" for k, c in enumerate(cands))
-    remove = ", ".join(f"'{c}'" for c in C.CLASSIFIER_FEATURES_TO_REMOVE + C.ALWAYS_DROP)
-    add_rows = ", ".join(f"({1000 + k}, '{c}')" for k, c in enumerate(dict.fromkeys(C.CLASSIFIER_FEATURES_TO_ADD)))
+    remove = ", ".join(f"'{c}'" for c in C.CLASSIFIER_OUT + C.ALWAYS_DROP)
+    add_rows = ", ".join(f"({1000 + k}, '{c}')" for k, c in enumerate(dict.fromkeys(C.CLASSIFIER_IN)))
     body = corr_pairs_sql()
     return f"""WITH pairs AS ({body}),
 dropped AS (SELECT DISTINCT feature_j AS feature FROM pairs WHERE abs_corr > {C.CORR_THRESHOLD}),

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,13 @@ def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool =
         try:
             df = (spark.read.schema(schema)
                   .option("header", True)
-                  .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+                  .option("timestampNTZFormat", "yyyy-MM-dd[['T'][ ]HH:mm[:ss[.SSSSSS][.SSS]]]")
                   .csv(p))
             df.schema  # resolves the path now so a missing file falls through
             return df.withColumn(C.ROW_ID, F.monotonically_increasing_id())
-        except Exception as exc:  # AnalysisException: path does not exist
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             last_error = exc
     raise FileNotFoundError(f"none of {paths} is readable") from last_error
 
@@ -95,8 +98,8 @@ def write_submission(pred: DataFrame, path: str) -> None:
     """S5: four columns sorted by (Site, Timestamp_Local), header CSV.
     The global sort range-partitions the output into ordered part files;
     nothing is coalesced into one task."""
-    (pred.select(*C.SUBMISSION_COLUMNS)
-         .orderBy(C.SITE, C.TIME)
+    order = [C.SITE, C.TIME, *([C.ROW_ID] if C.ROW_ID in pred.columns else [])]
+    (pred.orderBy(*order).select(*C.SUBMISSION_COLUMNS)
          .write.mode("overwrite").option("header", True)
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
          .csv(path))
