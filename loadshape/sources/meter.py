@@ -33,7 +33,9 @@ def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool =
     """S1/S2/S4: header CSV with a declared schema; ``Timestamp_Local`` is
     parsed as TIMESTAMP_NTZ (local wall-clock time, never shifted by the
     session zone). ``path`` may be a list: the first existing one is used
-    (S3, path fallback)."""
+    (S3, path fallback). Dates with or without a time, seconds, fractions or a
+    ``T`` are read; a row that doesn't parse fails the read rather than
+    becoming NULL."""
     paths = [path] if isinstance(path, str) else list(path)
     schema = TRAIN_SCHEMA if labelled else TEST_SCHEMA
     last_error: Exception | None = None
@@ -41,6 +43,7 @@ def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool =
         try:
             df = (spark.read.schema(schema)
                   .option("header", True)
+                  .option("mode", "FAILFAST")
                   .option("timestampNTZFormat", "yyyy-MM-dd[['T'][ ]HH:mm[:ss[.SSSSSS][.SSS]]]")
                   .csv(p))
             df.schema  # resolves the path now so a missing file falls through
