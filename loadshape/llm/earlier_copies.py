@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadshape.llm.shared import bound_batches, shared_path, whole_groups, write_shared
@@ -49,6 +49,8 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
+#: Text per task: the number of buckets grows with the input, so that a bucket doesn't.
+BUCKET_BYTES = 32 << 20
 #: Windows per piece of text sent to a shard: one bit each in a 64-bit mask.
 PIECE = 32
 
@@ -140,9 +142,20 @@ def earlier_factor_lengths(text: np.ndarray, starts: np.ndarray, rank: np.ndarra
 
 # ---- blocks ---------------------------------------------------------------
 
-def pack_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Bucketed table of blocks (block, doc_ids, sizes, keys, data), and the
-    number of its bytes. A block's id is unique per task and position."""
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")).cast("long"))).first()[0] or 0
+
+
+def tasks_for(spark: SparkSession, total: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets, and shuffle partitions, for ``total`` bytes of text: never
+    fewer than the session's, never more than Spark allows a table."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes)))
+
+
+def pack_blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """Bucketed table of blocks (block, doc_ids, sizes, keys, data). A block's
+    id is unique per task and position."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"),
                          F.spark_partition_id().alias("part"))
@@ -167,14 +180,11 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         if ids:
             yield block(part)
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
     (source.mapInPandas(pack, "block long, doc_ids array<long>, sizes array<int>, keys array<binary>, data binary")
      .write.bucketBy(buckets, "block").option("path", shared_path(spark, "blocks")).option("compression", "zstd")
      .saveAsTable(name))
-    blocks = spark.table(name)
-    total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
-    return blocks, total
+    return spark.table(name)
 
 
 def repeated_texts(blocks: DataFrame) -> DataFrame:
@@ -248,7 +258,7 @@ def merged_lists(blobs, kind) -> np.ndarray:
     return np.concatenate([unpacked(bytes(b), kind) for b in blobs])
 
 
-def shared_owners(blocks: DataFrame, shards: int) -> DataFrame:
+def shared_owners(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
     """(block, owners): packed owner hashes of the block that two documents of
     the corpus share."""
 
@@ -292,12 +302,12 @@ def shared_owners(blocks: DataFrame, shards: int) -> DataFrame:
                         yield pd.DataFrame({"block": [block], "owners": [packed(own[keep])]})
 
     sent = blocks.mapInPandas(send, "shard int, block long, hashes binary, several binary")
-    back = (sent.repartition("shard").sortWithinPartitions("shard")
+    back = (sent.repartition(tasks, "shard").sortWithinPartitions("shard")
             .mapInPandas(match, "block long, owners binary"))
     return write_shared(back, "copies-owners").groupBy("block").agg(F.collect_list("owners").alias("owners"))
 
 
-def earlier_windows(blocks: DataFrame, shards: int) -> DataFrame:
+def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
     """(block, marks): packed (text number, window mask) pairs of the windows
     that another block's smaller document holds."""
 
@@ -341,7 +351,7 @@ def earlier_windows(blocks: DataFrame, shards: int) -> DataFrame:
                         yield pd.DataFrame({"block": [block], "marks": [packed(pairs)]})
 
     sent = blocks.mapInPandas(send, "shard int, block long, nth binary, docs binary, sizes binary, texts binary")
-    back = (sent.repartition("shard").sortWithinPartitions("shard")
+    back = (sent.repartition(tasks, "shard").sortWithinPartitions("shard")
             .mapInPandas(order, "block long, marks binary"))
     return write_shared(back, "copies-marks").groupBy("block").agg(F.collect_list("marks").alias("marks"))
 
@@ -356,12 +366,14 @@ def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes:
     maximal removed byte runs as [start, end) pairs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    blocks, total = pack_blocks(docs, block_bytes)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    total = text_bytes(docs)
+    tasks = tasks_for(spark, total)
+    blocks = pack_blocks(docs, block_bytes, tasks)
+    shards = max(tasks, -(-total // shard_bytes))
     skipping = blocks.join(repeated_texts(blocks), "block", "left")
-    owners = shared_owners(skipping, shards)
+    owners = shared_owners(skipping, shards, tasks)
     searching = skipping.join(owners, "block", "left")
-    marks = earlier_windows(searching, shards)
+    marks = earlier_windows(searching, shards, tasks)
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -139,6 +139,14 @@ def test_suffix_dedup_brute_force(spark, frame, block_bytes, monkeypatch):
     assert got == brute_copies(docs)
 
 
+def test_suffix_dedup_tasks_grow_with_input(spark, frame):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert earlier_copies.tasks_for(spark, 0) == few
+    assert earlier_copies.tasks_for(spark, 30 << 30) == 30 * 1024 // 32
+    assert earlier_copies.tasks_for(spark, 100 << 40) == int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    assert earlier_copies.text_bytes(frame([(1, "é" * 10), (2, None), (3, "ab")])) == 22
+
+
 def test_longest_previous_factor():
     text = np.frombuffer(b"abcdeabcdxabcde", np.uint8)
     got = earlier_copies.earlier_factor_lengths(text, np.array([0, 5, 10]), np.array([1, 2, 2]), 5)
