@@ -20,6 +20,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import split as SP
+from ..session import cut_lineage
 from ..sources.meter import meter_view, time_holdout
 from . import oracle as O
 from . import oracle_plans as OP
@@ -162,7 +163,7 @@ def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_archetype_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     meter = meter_view(spark, sf_dir)
-    arch = site_archetypes(meter)
+    arch = cut_lineage(site_archetypes(meter))
     parts = [SP.restrict_to_archetype(meter, arch, a)
              .agg(F.countDistinct(C.SITE).alias("n_sites"), F.count(F.lit(1)).alias("n_rows"))
              .select(F.lit(a).alias("site_archetype"), "n_sites", "n_rows")

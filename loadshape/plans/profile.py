@@ -5,8 +5,10 @@ post-processing, sorted sink) and the metrics are checked against DuckDB
 on real rows. The MLlib models in ``plans.models`` feed the same blend.
 
 Family A keys on hour-of-week, family B on hour-of-day; the archetype level
-adds the site archetype to the key. Key tables have a fixed size bound
-(168 or 24 slots, times 2 archetypes), so they are broadcast.
+adds the site archetype to the key. The training file is read once, into
+totals per (archetype, hour-of-week); all four key tables are sums of those.
+They have a fixed size bound (168 or 24 slots, times 2 archetypes), so they
+are broadcast.
 """
 
 from __future__ import annotations
@@ -16,25 +18,33 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import calendar as cal
-from ..operators.archetypes import attach_archetype, site_archetypes
+from ..operators.archetypes import ARCH, attach_archetype, site_archetypes
 from ..operators.ensemble import CAPACITY, PROBS, merge_levels, two_family_level
-from ..operators.split import restrict_to_archetype
+from ..session import cut_lineage
 
 SLOT_A, SLOT_B = "slot_a", "slot_b"
+FLAGS = (-1, 0, 1)
 
 
 def slots(df: DataFrame) -> DataFrame:
     return df.withColumn(SLOT_A, cal.dayofweek() * 24 + cal.hour()).withColumn(SLOT_B, cal.hour())
 
 
-def fit_profile(train: DataFrame, keys: list[str]) -> DataFrame:
-    """Laplace-smoothed class shares and mean event capacity per key."""
+def slot_totals(train: DataFrame) -> DataFrame:
+    """Rows per flag, event readings and their capacity per (archetype, slot);
+    at most 3 x 169 rows, whatever the input."""
     f = F.col(C.FLAG)
-    n = F.count(F.lit(1))
-    cnt = [F.sum(F.when(f == v, 1).otherwise(0)) for v in (-1, 0, 1)]
-    probs = F.array(*[((c + 1) / (n + 3)).cast("double") for c in cnt])
-    cap = F.coalesce(F.avg(F.when(f != 0, F.col(C.CAP))), F.lit(0.0))
-    return train.groupBy(*keys).agg(probs.alias("p"), cap.alias("c"))
+    event_cap = F.when(f != 0, F.col(C.CAP))
+    return train.groupBy(ARCH, SLOT_A, SLOT_B).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(F.when(f == v, 1)).alias(f"n{k}") for k, v in enumerate(FLAGS)],
+        F.count(event_cap).alias("n_cap"), F.sum(event_cap).alias("cap"))
+
+
+def key_table(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Laplace-smoothed class shares and mean event capacity per key."""
+    t = totals.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2", "n_cap", "cap")])
+    probs = F.array(*[((F.col(f"n{k}") + 1) / (F.col("n") + 3)).cast("double") for k in range(len(FLAGS))])
+    return t.select(*keys, probs.alias("p"), F.coalesce(F.try_divide("cap", "n_cap"), F.lit(0.0)).alias("c"))
 
 
 def apply_profile(test: DataFrame, model: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -45,10 +55,11 @@ def apply_profile(test: DataFrame, model: DataFrame, keys: list[str], suffix: st
                .withColumn("c_" + suffix, F.coalesce(F.col("c_" + suffix), F.lit(0.0))))
 
 
-def predict_level(train: DataFrame, test: DataFrame, extra: list[str]) -> DataFrame:
-    ka, kb = extra + [SLOT_A], extra + [SLOT_B]
-    scored = apply_profile(test, fit_profile(train, ka), ka, "a")
-    scored = apply_profile(scored, fit_profile(train, kb), kb, "b")
+def predict_level(totals: DataFrame, test: DataFrame, extra: list[str]) -> DataFrame:
+    scored = test
+    for suffix, slot in (("a", SLOT_A), ("b", SLOT_B)):
+        keys = [*extra, slot]
+        scored = apply_profile(scored, key_table(totals, keys), keys, suffix)
     level = two_family_level(scored, "p_a", "p_b", "c_a", "c_b")
     return level.select(C.SITE, C.ROW_ID, C.TIME, PROBS, CAPACITY)
 
@@ -56,18 +67,12 @@ def predict_level(train: DataFrame, test: DataFrame, extra: list[str]) -> DataFr
 def profile_submission(train: DataFrame, test: DataFrame) -> DataFrame:
     """Global + per-archetype profiles, merged like the model ensemble.
     Archetypes come from the test file (as the original does)."""
-    arch = site_archetypes(test)
-    tr, te = slots(train), slots(test)
-    global_pred = predict_level(tr, te, [])
-    parts = []
-    for a in C.ARCHETYPES:
-        tr_a = attach_archetype(restrict_to_archetype(tr, arch, a), arch)
-        te_a = attach_archetype(restrict_to_archetype(te, arch, a), arch)
-        # P10: an archetype without training rows gets no archetype model;
-        # its rows fall back to the global prediction.
-        trained = tr_a.select("site_archetype").distinct()
-        te_a = te_a.join(F.broadcast(trained), "site_archetype", "left_semi")
-        parts.append(predict_level(tr_a, te_a, ["site_archetype"]))
-    arch_pred = parts[0].unionByName(parts[1])
-    return merge_levels(global_pred, arch_pred)
-
+    arch = cut_lineage(site_archetypes(test))
+    totals = cut_lineage(slot_totals(slots(attach_archetype(train, arch))))
+    te = slots(test)
+    global_pred = predict_level(totals, te, [])
+    # P10: an archetype without training rows gets no archetype model; its
+    # rows fall back to the global prediction.
+    trained = totals.where(F.col(ARCH).isNotNull()).select(ARCH).distinct()
+    te_arch = attach_archetype(te, arch).join(F.broadcast(trained), ARCH, "left_semi")
+    return merge_levels(global_pred, predict_level(totals, te_arch, [ARCH]))
