@@ -21,7 +21,7 @@ from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import split as SP
 from ..session import cut_lineage
-from ..sources.meter import meter_view, time_holdout
+from ..sources.meter import SUBMISSION_ORDER, meter_view, time_holdout, with_position
 from . import oracle as O
 from . import oracle_plans as OP
 from .present import present, sql_round
@@ -109,6 +109,13 @@ COVERS = {
     "correlation_pairs": "A4",
     "correlated_drops": "A5",
     "classifier_features": "M1, A5",
+    "regressor_features": "M1, A5",
+    "regressor_inputs": "A7",
+    "imputation_values": "M12",
+    "event_rows": "P6",
+    "aligned_test": "P3",
+    "submission_order": "S5 (order)",
+    "one_archetype_submission": "P10, M11",
     "profile_submission": "V1-V4, P7, P9, P10, J2-J4",
     "confusion_matrix": "E1",
     "classification_scores": "E2, E3",
@@ -185,10 +192,55 @@ def q_correlated_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SEL.correlated_drops(_pairs(spark, sf_dir)).select("feature")
 
 
-def q_classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dropped = [r["feature"] for r in q_correlated_drops(spark, sf_dir).collect()]
-    clf = SEL.edited_list(SEL.surviving(SEL.correlation_candidates(), dropped), C.CLASSIFIER_OUT, C.CLASSIFIER_IN)
-    return spark.createDataFrame([(k, f) for k, f in enumerate(clf)], "position long, feature string")
+def edited_features_query(out: list[str], extra: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        dropped = [r["feature"] for r in q_correlated_drops(spark, sf_dir).collect()]
+        names = SEL.edited_list(SEL.surviving(SEL.correlation_candidates(), dropped), out, extra)
+        return spark.createDataFrame(list(enumerate(names)), "position long, feature string")
+    return run
+
+
+def q_regressor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7: the united regressor features in order, with their readings."""
+    names = SEL.regressor_features_used()
+    made = [n for n in names if n not in C.RAW_NUMERIC]
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=made)
+    counts = feats.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{k}") for k, n in enumerate(names)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(k).cast("long").alias("position"), F.lit(n).alias("feature"), F.col(f"n{k}").alias("n_present"))
+        for k, n in enumerate(names)])))
+
+
+#: Readings, a lag and differences, so that missing values of both kinds occur.
+IMPUTED = [*C.RAW_NUMERIC, "power_lag_144", "power_diff_672", "rad_diff_24", "hour"]
+
+
+def q_imputation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12, with a sketch fine enough to be exact on the check tables."""
+    from .models import medians
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
+    return present(medians(feats, IMPUTED, accuracy=1_000_000))
+
+
+def q_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(SP.events_only(meter_view(spark, sf_dir)).select(C.SITE, C.ROW_ID, C.FLAG, C.CAP))
+
+
+def q_aligned_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, _ = _holdout(spark, sf_dir)
+    return present(SP.align_columns(test, train.columns))
+
+
+def q_submission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, _ = _holdout(spark, sf_dir)
+    return with_position(profile_submission(train, test), SUBMISSION_ORDER).select(*SUBMISSION_ORDER, "position")
+
+
+def q_one_archetype_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10, M11: no large site has training rows, so those fall back."""
+    train, test, _ = _holdout(spark, sf_dir)
+    train = SP.restrict_to_archetype(train, cut_lineage(site_archetypes(test)), "small")
+    return present(profile_submission(train, test).select(*C.SUBMISSION_COLUMNS))
 
 
 def _holdout(spark: SparkSession, sf_dir: str):
@@ -247,7 +299,14 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "archetype_subsets": q_archetype_subsets,
         "correlation_pairs": q_correlation_pairs,
         "correlated_drops": q_correlated_drops,
-        "classifier_features": q_classifier_features,
+        "classifier_features": edited_features_query(C.CLASSIFIER_OUT, C.CLASSIFIER_IN),
+        "regressor_features": edited_features_query(C.REGRESSOR_OUT, C.REGRESSOR_IN),
+        "regressor_inputs": q_regressor_inputs,
+        "imputation_values": q_imputation_values,
+        "event_rows": q_event_rows,
+        "aligned_test": q_aligned_test,
+        "submission_order": q_submission_order,
+        "one_archetype_submission": q_one_archetype_submission,
         "profile_submission": q_profile_submission,
         "confusion_matrix": q_confusion_matrix,
         "classification_scores": q_classification_scores,
@@ -275,7 +334,14 @@ def sql_queries() -> dict[str, str]:
         "archetype_subsets": OP.archetype_subsets_sql(),
         "correlation_pairs": OP.corr_pairs_sql(),
         "correlated_drops": OP.corr_drops_sql(),
-        "classifier_features": OP.classifier_features_sql(),
+        "classifier_features": OP.edited_features_sql(C.CLASSIFIER_OUT, C.CLASSIFIER_IN),
+        "regressor_features": OP.edited_features_sql(C.REGRESSOR_OUT, C.REGRESSOR_IN),
+        "regressor_inputs": OP.regressor_inputs_sql(SEL.regressor_features_used()),
+        "imputation_values": OP.imputation_values_sql(IMPUTED),
+        "event_rows": OP.event_rows_sql(),
+        "aligned_test": OP.aligned_test_sql(),
+        "submission_order": OP.submission_order_sql(),
+        "one_archetype_submission": OP.profile_submission_sql(trained_on="small"),
         "profile_submission": OP.profile_submission_sql(),
         "confusion_matrix": OP.confusion_sql(),
         "classification_scores": OP.classification_scores_sql(),

@@ -58,11 +58,11 @@ def corr_drops_sql() -> str:
 SELECT DISTINCT feature_j AS feature FROM pairs WHERE abs_corr > {C.CORR_THRESHOLD}"""
 
 
-def classifier_features_sql() -> str:
+def edited_features_sql(out: list[str], extra: list[str]) -> str:
     cands = correlation_candidates()
     cand_rows = ", ".join(f"({k}, '{c}')" for k, c in enumerate(cands))
-    remove = ", ".join(f"'{c}'" for c in C.CLASSIFIER_OUT + C.ALWAYS_DROP)
-    add_rows = ", ".join(f"({1000 + k}, '{c}')" for k, c in enumerate(dict.fromkeys(C.CLASSIFIER_IN)))
+    remove = ", ".join(f"'{c}'" for c in out + C.ALWAYS_DROP)
+    add_rows = ", ".join(f"({1000 + k}, '{c}')" for k, c in enumerate(dict.fromkeys(extra)))
     body = corr_pairs_sql()
     return f"""WITH pairs AS ({body}),
 dropped AS (SELECT DISTINCT feature_j AS feature FROM pairs WHERE abs_corr > {C.CORR_THRESHOLD}),
@@ -74,6 +74,41 @@ lst AS (SELECT * FROM kept UNION ALL SELECT * FROM added WHERE feature NOT IN (S
 SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS position, feature FROM lst"""
 
 
+def regressor_inputs_sql(names: list[str]) -> str:
+    counts = ", ".join(f'count("{n}") AS "{n}"' for n in names)
+    order = ", ".join(f"'{n}'" for n in names)
+    made = [n for n in names if n not in C.RAW_NUMERIC]
+    return f"""{O.features_sql_raw(made)},
+agg AS (SELECT {counts} FROM feats)
+SELECT CAST(list_position([{order}], feature) - 1 AS BIGINT) AS position, feature, CAST(n AS BIGINT) AS n_present
+FROM (UNPIVOT agg ON COLUMNS(*) INTO NAME feature VALUE n)"""
+
+
+def imputation_values_sql(names: list[str]) -> str:
+    made = [n for n in names if n not in C.RAW_NUMERIC]
+    rows = " UNION ALL ".join(
+        f"""SELECT '{n}' AS feature, {sql_round(f'quantile_disc(CAST("{n}" AS DOUBLE), 0.5)')} AS median FROM feats"""
+        for n in names)
+    return f"{O.features_sql_raw(made)}\n{rows}"
+
+
+def event_rows_sql() -> str:
+    return f"""WITH {O.METER}
+SELECT {S}, {RID}, CAST({FL} AS BIGINT) AS {FL}, {sql_round(CP)} AS {CP} FROM ml WHERE {FL} <> 0"""
+
+
+def aligned_test_sql(holdout_days: int = 61) -> str:
+    return f"""WITH {O.METER}, cut AS (SELECT max({TS}) - INTERVAL {holdout_days} DAY AS c FROM ml)
+SELECT {S}, {RID}, {TS}, {sql_round(TT)} AS {TT}, {sql_round(RR)} AS {RR}, {sql_round(PP)} AS {PP},
+       CAST(0 AS BIGINT) AS {FL}, CAST(0 AS BIGINT) AS {CP}
+FROM ml, cut WHERE {TS} >= cut.c"""
+
+
+def submission_order_sql() -> str:
+    return f"""{profile_core_sql()}
+SELECT {S}, {TS}, {RID}, CAST(row_number() OVER (ORDER BY {S}, {TS}, {RID}) - 1 AS BIGINT) AS position FROM sub"""
+
+
 def _profile_level(src: str, extra: str, name: str) -> str:
     """Two-family profile level over test rows ``src`` trained on ``tr{extra}``."""
     keys_a = f"{extra}slot_a" if not extra else f"site_archetype, slot_a"
@@ -108,15 +143,17 @@ def _profile_level(src: str, extra: str, name: str) -> str:
 )"""
 
 
-def profile_core_sql(holdout_days: int = 61) -> str:
+def profile_core_sql(holdout_days: int = 61, trained_on: str | None = None) -> str:
+    """``trained_on``: archetype whose sites alone have training rows."""
+    only = f" AND {S} IN (SELECT {S} FROM arch WHERE site_archetype = '{trained_on}')" if trained_on else ""
     slot = f"(isodow({TS}) - 1) * 24 + hour({TS}) AS slot_a, hour({TS}) AS slot_b"
     return f"""WITH {O.METER},
 cut AS (SELECT max({TS}) - INTERVAL {holdout_days} DAY AS c FROM ml),
-tr AS (SELECT ml.*, {slot} FROM ml, cut WHERE {TS} < cut.c),
 te AS (SELECT ml.* EXCLUDE ({FL}, {CP}), {slot} FROM ml, cut WHERE {TS} >= cut.c),
 truth AS (SELECT {S}, {RID}, {FL}, {CP} FROM ml, cut WHERE {TS} >= cut.c),
 arch AS (SELECT {S}, CASE WHEN avg({PP}) > {C.ARCHETYPE_POWER_THRESHOLD} THEN 'large' ELSE 'small' END AS site_archetype
          FROM te GROUP BY {S}),
+tr AS (SELECT ml.*, {slot} FROM ml, cut WHERE {TS} < cut.c{only}),
 tra AS (SELECT tr.*, arch.site_archetype FROM tr JOIN arch USING ({S})),
 tea AS (SELECT te.*, arch.site_archetype FROM te JOIN arch USING ({S})
         WHERE arch.site_archetype IN (SELECT site_archetype FROM tra)),
@@ -140,8 +177,8 @@ sub AS (
 )"""
 
 
-def profile_submission_sql() -> str:
-    return f"""{profile_core_sql()}
+def profile_submission_sql(trained_on: str | None = None) -> str:
+    return f"""{profile_core_sql(trained_on=trained_on)}
 SELECT {S}, {TS}, CAST({FL} AS BIGINT) AS {FL}, {sql_round(CP)} AS {CP} FROM sub"""
 
 

@@ -14,8 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .. import config as C
+from ..session import cut_lineage
 
 TRAIN_SCHEMA = T.StructType([
     T.StructField(C.SITE, T.StringType()),
@@ -97,11 +99,29 @@ def time_holdout(meter: DataFrame, holdout_days: int = 61) -> tuple[DataFrame, D
     return train, test
 
 
+SUBMISSION_ORDER = [C.SITE, C.TIME, C.ROW_ID]
+
+
+def with_position(df: DataFrame, order: list[str]) -> DataFrame:
+    """Global position (from 0) of every row in ``order`` without one task for
+    all rows: a range-partitioned sort, the row's number in its partition,
+    and the rows of the partitions before (a table of one row per partition)."""
+    part_rows = (1 << 33) - 1     # monotonically_increasing_id keeps the row number in the low 33 bits
+    ordered = cut_lineage(df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(part_rows)).alias("_nth")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"))
+    return (ordered.join(F.broadcast(offsets), "_part")
+            .withColumn("position", F.col("_rows_before") + F.col("_nth")).drop("_part", "_nth", "_rows_before"))
+
+
 def write_submission(pred: DataFrame, path: str) -> None:
     """S5: four columns sorted by (Site, Timestamp_Local), header CSV.
     The global sort range-partitions the output into ordered part files;
     nothing is coalesced into one task."""
-    order = [C.SITE, C.TIME, *([C.ROW_ID] if C.ROW_ID in pred.columns else [])]
+    order = [c for c in SUBMISSION_ORDER if c in pred.columns]
     (pred.orderBy(*order).select(*C.SUBMISSION_COLUMNS)
          .write.mode("overwrite").option("header", True)
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
