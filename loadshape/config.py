@@ -126,3 +126,20 @@ VALIDATION_DAYS = 31
 LGB_WEIGHT, XGB_WEIGHT = 0.7, 0.3     # family A / family B blend
 GLOBAL_WEIGHT, ARCHETYPE_WEIGHT = 0.9, 0.1
 NUM_CLASSES = 3
+
+# ---------------------------------------------------------------------------
+# Boosting settings of the final models (the same globally and
+# per archetype), those used when none are given, and the two search grids.
+# ---------------------------------------------------------------------------
+CLF_SETTINGS = {"n_estimators": 2500, "learning_rate": 0.026, "num_leaves": 29, "colsample_bytree": 0.8,
+                "min_child_samples": 20, "reg_alpha": 0.46, "reg_lambda": 0.5}
+REG_SETTINGS = {"n_estimators": 10000, "learning_rate": 0.0175, "num_leaves": 49, "colsample_bytree": 0.8,
+                "min_child_samples": 20, "reg_alpha": 0.3, "reg_lambda": 0.2}
+CLF_FALLBACK = {"n_estimators": 1500, "learning_rate": 0.02, "num_leaves": 41, "colsample_bytree": 0.8,
+                "min_child_samples": 20, "reg_alpha": 0.5, "reg_lambda": 1.0}
+REG_FALLBACK = {"n_estimators": 1500, "learning_rate": 0.05, "num_leaves": 60, "colsample_bytree": 0.8,
+                "min_child_samples": 20, "reg_alpha": 0.5, "reg_lambda": 0.5}
+CLF_GRID = {"n_estimators": [1500], "learning_rate": [0.01, 0.02, 0.03], "num_leaves": [31, 41, 51, 61],
+            "colsample_bytree": [0.8], "min_child_samples": [20], "reg_alpha": [0.1, 0.5], "reg_lambda": [0.1, 0.5]}
+REG_GRID = {"n_estimators": [1500], "learning_rate": [0.01, 0.03, 0.05], "num_leaves": [40, 50, 60, 80],
+            "colsample_bytree": [0.8], "min_child_samples": [20], "reg_alpha": [0.1, 0.5], "reg_lambda": [0.1, 0.5]}
