@@ -20,7 +20,7 @@ from .. import config as C
 from ..functions import calendar as cal
 from ..operators.archetypes import ARCH, attach_archetype, site_archetypes
 from ..operators.ensemble import CAPACITY, PROBS, merge_levels, two_family_level
-from ..session import cut_lineage
+from ..session import written
 
 SLOT_A, SLOT_B = "slot_a", "slot_b"
 FLAGS = (-1, 0, 1)
@@ -67,8 +67,8 @@ def predict_level(totals: DataFrame, test: DataFrame, extra: list[str]) -> DataF
 def profile_submission(train: DataFrame, test: DataFrame) -> DataFrame:
     """Global + per-archetype profiles, merged like the model ensemble.
     Archetypes come from the test file (as the original does)."""
-    arch = cut_lineage(site_archetypes(test))
-    totals = cut_lineage(slot_totals(slots(attach_archetype(train, arch))))
+    arch = written(site_archetypes(test), "archetypes")
+    totals = written(slot_totals(slots(attach_archetype(train, arch))), "slot-totals")
     te = slots(test)
     global_pred = predict_level(totals, te, [])
     # P10: an archetype without training rows gets no archetype model; its
