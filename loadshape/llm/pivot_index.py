@@ -4,9 +4,9 @@ A vector is described by its ``PREFIX`` nearest of ``PIVOTS`` reference points,
 in order. Inverted lists per (label, dimension, pivot) hold the vectors that
 have the pivot in their prefix; two vectors that share ``SHARED`` pivots or more
 are candidates and are verified by cosine in double precision. Every vector is
-indexed; only the reference points are fitted, on at most ``SAMPLE_ROWS``
-vectors, as mutually distant ones (farthest-first), so that a crowded spot
-doesn't use them up.
+indexed; only the reference points are fitted, per dimension on at most
+``SAMPLE_ROWS`` of its vectors, as mutually distant ones (farthest-first), so
+that a crowded spot doesn't use them up.
 
 Equal vectors are one node with a count. A list above ``block_rows`` is split
 into pairs of blocks that different tasks compare, so no list is too long and
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadshape.llm.shared import all_rows, bound_batches, components, local_components, whole_groups, write_shared
+from loadshape.llm.shared import bound_batches, components, local_components, whole_groups, write_shared
 
 THRESHOLD = 0.93
 PIVOTS = 128
@@ -39,6 +39,8 @@ PREFIX = 12
 SHARED = 4
 SAMPLE_ROWS = 4096
 BLOCK_ROWS = 1024
+#: Reference points of all dimensions together, held by the driver and each worker.
+POINT_BYTES = 64 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -60,17 +62,36 @@ def distant_points(vectors: np.ndarray, count: int) -> np.ndarray:
     return vectors[picked]
 
 
-def fit_pivots(nodes: DataFrame, pivots: int = PIVOTS, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """Reference points per dimension, chosen in one task from a bounded
-    sample drawn by hash; at most ``pivots`` vectors a dimension return."""
+def fit_pivots(nodes: DataFrame, pivots: int = PIVOTS, rows: int = SAMPLE_ROWS,
+               point_bytes: int = POINT_BYTES) -> dict[int, np.ndarray]:
+    """Reference points per dimension: each dimension's are chosen in one task
+    from the dimension's own sample of at most ``rows`` vectors, the least by
+    hash. At most ``pivots`` vectors a dimension return, and ``point_bytes`` in
+    all; dimensions beyond that, the rarest, have none."""
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim")
+    held, share = 0, []
+    for r in sizes.toLocalIterator():  # at most one row per length of a vector
+        held += 8 * r.dim * min(r.n, pivots)
+        if held > point_bytes:
+            break
+        share.append((r.dim, min(1.0, 1.25 * rows / r.n) if r.n > rows else 1.0))
+    if not share:
+        return {}
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = all_rows(frames)
-        for dim, part in [] if frame is None else frame.sort_values("node").groupby("dim"):
-            points = distant_points(unit(np.stack(part["embedding"].to_list())), pivots)
-            yield pd.DataFrame({"dim": [dim], "points": [points.astype(np.float64).tobytes()]})
-
-    sample = nodes.orderBy(F.xxhash64("embedding"), "node").limit(rows).select("node", "dim", "embedding").coalesce(1)
+        for frame in whole_groups(frames, ["dim"]):
+            for dim, part in frame.groupby("dim"):
+                part = part.sort_values(["at", "node"]).head(rows).sort_values("node")
+                points = distant_points(unit(np.stack(part["embedding"].to_list())), pivots)
+                yield pd.DataFrame({"dim": [dim], "points": [points.astype(np.float64).tobytes()]})
+
+    # a share of the hashes a quarter too large has the least ``rows`` in it, and bounds what a task receives
+    limits = F.broadcast(nodes.sparkSession.createDataFrame(share, "of_dim int, share double"))
+    sample = (
+        nodes.withColumn("at", F.xxhash64("label", "embedding"))
+        .join(limits, F.col("dim") == F.col("of_dim"))
+        .where(F.col("at") / F.lit(2.0 ** 64) + 0.5 <= F.col("share"))
+        .select("dim", "at", "node", "embedding").repartition("dim").sortWithinPartitions("dim"))
     return {r.dim: np.frombuffer(r.points, np.float64).reshape(-1, r.dim)
             for r in sample.mapInPandas(choose, "dim int, points binary").toLocalIterator()}
 
@@ -108,12 +129,17 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def index_nodes(nodes: DataFrame, points: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """``nodes`` with ``pivots``, their nearest reference points in order."""
+    """``nodes`` with ``pivots``, their nearest reference points in order. A
+    dimension without points is one list, in which all pairs are candidates."""
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = np.empty(len(frame), object)
             for dim, part in frame.reset_index(drop=True).groupby("dim"):
+                if dim not in points:
+                    for i in part.index:
+                        out[i] = np.zeros(1, np.int32)
+                    continue
                 close = unit(np.stack(part["embedding"].to_list())) @ points[dim].T
                 order = np.argsort(-close, axis=1, kind="stable")[:, :prefix].astype(np.int32)
                 for i, row in zip(part.index, order):
@@ -159,7 +185,8 @@ def group_links(frame: pd.DataFrame, shared: int, threshold: float) -> pd.DataFr
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, prefix: int = PREFIX,
-                 shared: int = SHARED, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 shared: int = SHARED, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
+                 point_bytes: int = POINT_BYTES) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -169,7 +196,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int =
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
     nodes = write_shared(
         distinct.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "pivot-nodes")
-    points = fit_pivots(nodes, pivots, sample_rows)
+    points = fit_pivots(nodes, pivots, sample_rows, point_bytes)
     indexed = write_shared(index_nodes(nodes.select("node", "label", "dim", "embedding", "times"), points, prefix),
                            "pivot-index")
     sizes = write_shared(

@@ -294,6 +294,20 @@ def test_pivots_brute_force(spark):
     assert pivot_index.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("point_bytes", [pivot_index.POINT_BYTES, 0])
+def test_pivots_rare_dimensions(spark, point_bytes):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(300)]
+    rows += [(300 + i, [float(x) for x in np.full(4 + i // 2, 1.0) + 0.01 * i], 0) for i in range(8)]
+    rows += [(400, rows[0][1][:15], 0), (401, [x * 1.01 for x in rows[0][1]], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in pivot_index.near_vectors(df, sample_rows=20, point_bytes=point_bytes).collect()}
+    assert len(got) == len(rows)
+    for i in range(8):  # four dimensions of two parallel vectors each
+        assert tuple(got[300 + i])[1:] == (1, 300 + i // 2 * 2, i % 2 == 0)
+    assert tuple(got[400])[1:] == (0, 400, True) and got[401].component_id == 0
+
+
 # ---- 9: SimHash ----
 
 def brute_print(text):
