@@ -18,11 +18,15 @@ shouldn't be shuffled at all:
    owner hashes to shards; shards return those that two documents share.
 3. Blocks send the texts of shared owners' windows, each distinct one once
    with its smallest doc_id, to the owner's shard. The shard sorts these
-   suffixes, computes LPF lengths and returns a bit per window.
+   suffixes, computes LPF lengths and returns a bit per window. An owner with
+   more than ``HOT_TEXTS`` distinct texts (a passage between texts that differ)
+   is too much for one shard: its windows are sent singly, to shards by their
+   own hash, where equal ones still meet.
 4. Blocks turn bits into removal spans and digests.
 
 Each exchange moves at most one row per (block, shard), so a group of copies of
-any size weighs no more than one text per block.
+any size weighs no more than one text per block, and equal windows no more than
+one window per block.
 
 Edge cases: null text is empty; texts shorter than ``LENGTH`` lose nothing;
 rows with equal doc_ids don't remove each other; a null doc_id is neither
@@ -53,6 +57,8 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: Windows per piece of text sent to a shard: one bit each in a 64-bit mask.
 PIECE = 32
+#: Distinct texts of one owner, added up over blocks, beyond which its windows go singly.
+HOT_TEXTS = 16_384
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SHIFT = [np.uint64(x) for x in (29, 31, 30)]
@@ -99,6 +105,29 @@ def pieces(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return owner[start], start, size
 
 
+def text_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes [start, end), of eight or more."""
+    key = (end - start).astype(np.uint64)
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    for at in range(0, int((end - start).max(initial=0)), 8):
+        key = key * _MIX[1] ^ words[np.minimum(start + at, end - 8)].view(np.uint64).ravel()
+        key = (key ^ key >> _SHIFT[0]) * _MIX[0]
+    return key
+
+
+def distinct_texts(data: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct owners, in order, and the number of distinct texts of each."""
+    found, of, times = np.unique(owner, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[of] > 1)
+    of, key = of[again], text_keys(data, start[again], end[again])
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+    texts = np.bincount(of[new], minlength=len(found))
+    return found, np.maximum(texts, 1).astype(np.uint32)
+
+
 def smaller_neighbour_lengths(rank: np.ndarray, lcp: np.ndarray, enough: int) -> np.ndarray:
     """For suffixes in order with document ranks, the common prefix with the
     nearest earlier suffix of strictly smaller rank (0: none, or below
@@ -220,10 +249,11 @@ class Block:
                 if len(owner):
                     yield i, owner, start, size
 
-    def shared_pieces(self, shared: np.ndarray, length: int = LENGTH):
-        """Distinct texts of the pieces with a shared owner, in order of first
-        occurrence: (owner, text, least doc_id) each, and all occurrences
-        (text number, document, first window, windows)."""
+    def shared_pieces(self, shared: np.ndarray, hot: np.ndarray, length: int = LENGTH):
+        """Distinct texts of the pieces with a shared owner, and of the single
+        windows with a hot one, in order of first occurrence: (key of the
+        shard, text, least doc_id) each, and all occurrences (text number,
+        document, first window, windows)."""
         known: dict[bytes, int] = {}
         owners, texts, least, found = [], [], [], []
         for i, owner, start, size in self.searched():
@@ -231,7 +261,16 @@ class Block:
                 continue
             hit = shared[np.minimum(np.searchsorted(shared, owner), len(shared) - 1)] == owner
             at = int(self.starts[i])
-            for h, s, n in zip(owner[hit].tolist(), start[hit].tolist(), size[hit].tolist()):
+            owner, start, size = owner[hit], start[hit], size[hit]
+            if len(hot) and len(owner):
+                single = hot[np.minimum(np.searchsorted(hot, owner), len(hot) - 1)] == owner
+                many = size[single]
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                first = np.repeat(start[single], many) + nth
+                own = text_keys(self.data, at + first, at + first + length)
+                owner, start = np.concatenate([owner[~single], own]), np.concatenate([start[~single], first])
+                size = np.concatenate([size[~single], np.ones(len(first), np.int64)])
+            for h, s, n in zip(owner.tolist(), start.tolist(), size.tolist()):
                 text = self.raw[at + s: at + s + n + length - 1]
                 k = known.setdefault(text, len(known))
                 if k == len(texts):
@@ -258,21 +297,26 @@ def merged_lists(blobs, kind) -> np.ndarray:
     return np.concatenate([unpacked(bytes(b), kind) for b in blobs])
 
 
-def shared_owners(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
-    """(block, owners): packed owner hashes of the block that two documents of
-    the corpus share."""
+def shared_owners(blocks: DataFrame, shards: int, tasks: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """(block, owners, hot): packed owner hashes of the block that two documents
+    of the corpus share, and those of them with more than ``hot_texts`` texts."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 own = Block(row)
-                hashes, docs = [], []
-                for i, owner, _, _ in own.searched():
+                hashes, docs, owners, starts, ends = [], [], [], [], []
+                for i, owner, start, size in own.searched():
+                    owners.append(owner)
+                    starts.append(own.starts[i] + start)
+                    ends.append(starts[-1] + size + LENGTH - 1)
                     owner = np.unique(owner)
                     hashes.append(owner)
                     docs.append(np.full(len(owner), own.ids[i]))
                 if not hashes:
                     continue
+                _, texts = distinct_texts(own.data, *map(np.concatenate, (owners, starts, ends)))
+                del owners, starts, ends
                 h, d = np.concatenate(hashes), np.concatenate(docs)
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
@@ -282,9 +326,9 @@ def shared_owners(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
                 shard = (h % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(s, row.block, h[at].tobytes(), np.packbits(several[at]).tobytes())
+                rows = [(s, row.block, h[at].tobytes(), np.packbits(several[at]).tobytes(), packed(texts[at]))
                         for s in range(shards) if len(at := order[cut[s]: cut[s + 1]])]
-                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "several"])
+                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "several", "texts"])
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["shard"]):
@@ -296,26 +340,31 @@ def shared_owners(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
                 _, at, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
                 shared = times > 1
                 shared[at[several]] = True
+                texts = np.bincount(at, weights=np.concatenate([unpacked(x, np.uint32) for x in part["texts"]]))
+                hot = shared & (texts > hot_texts)
                 cuts = np.cumsum(sizes)[:-1]
-                for block, own, keep in zip(part["block"], lists, np.split(shared[at], cuts)):
+                for block, own, keep, many in zip(part["block"], lists, np.split(shared[at], cuts), np.split(hot[at], cuts)):
                     if keep.any():
-                        yield pd.DataFrame({"block": [block], "owners": [packed(own[keep])]})
+                        yield pd.DataFrame({"block": [block], "owners": [packed(own[keep])],
+                                            "hot": [packed(own[many]) if many.any() else None]})
 
-    sent = blocks.mapInPandas(send, "shard int, block long, hashes binary, several binary")
+    sent = blocks.mapInPandas(send, "shard int, block long, hashes binary, several binary, texts binary")
     back = (sent.repartition(tasks, "shard").sortWithinPartitions("shard")
-            .mapInPandas(match, "block long, owners binary"))
-    return write_shared(back, "copies-owners").groupBy("block").agg(F.collect_list("owners").alias("owners"))
+            .mapInPandas(match, "block long, owners binary, hot binary"))
+    return write_shared(back, "copies-owners").groupBy("block").agg(
+        F.collect_list("owners").alias("owners"), F.collect_list("hot").alias("hot"))
 
 
-def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
-    """(block, marks): packed (text number, window mask) pairs of the windows
-    that another block's smaller document holds."""
+def sent_texts(blocks: DataFrame, shards: int) -> DataFrame:
+    """Per (block, shard) the texts to search there: packed text numbers,
+    least doc_ids, sizes and bytes."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 shared = np.sort(merged_lists(row.owners, np.uint64))
-                owners, texts, least, _ = Block(row).shared_pieces(shared)
+                hot = np.sort(merged_lists(row.hot, np.uint64))
+                owners, texts, least, _ = Block(row).shared_pieces(shared, hot)
                 if not texts:
                     continue
                 shard = (np.array(owners, np.uint64) % np.uint64(shards)).astype(np.int64)
@@ -330,6 +379,13 @@ def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
                                      zstandard.compress(b"".join([texts[i] for i in at.tolist()]), 3)))
                 yield pd.DataFrame(rows, columns=["shard", "block", "nth", "docs", "sizes", "texts"])
 
+    return blocks.mapInPandas(send, "shard int, block long, nth binary, docs binary, sizes binary, texts binary")
+
+
+def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
+    """(block, marks): packed (text number, window mask) pairs of the windows
+    that another block's smaller document holds."""
+
     def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["shard"]):
             for _, part in frame.groupby("shard"):
@@ -350,8 +406,7 @@ def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
                         pairs = np.stack([n[m > 0].astype(np.uint64), m[m > 0]], axis=1)
                         yield pd.DataFrame({"block": [block], "marks": [packed(pairs)]})
 
-    sent = blocks.mapInPandas(send, "shard int, block long, nth binary, docs binary, sizes binary, texts binary")
-    back = (sent.repartition(tasks, "shard").sortWithinPartitions("shard")
+    back = (sent_texts(blocks, shards).repartition(tasks, "shard").sortWithinPartitions("shard")
             .mapInPandas(order, "block long, marks binary"))
     return write_shared(back, "copies-marks").groupBy("block").agg(F.collect_list("marks").alias("marks"))
 
@@ -361,7 +416,8 @@ def spans_of(covered: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, *,
+                   hot_texts: int = HOT_TEXTS) -> DataFrame:
     """Per row of ``docs``: doc_id, data (the UTF-8 bytes) and spans, the
     maximal removed byte runs as [start, end) pairs."""
     spark = docs.sparkSession
@@ -371,7 +427,7 @@ def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes:
     blocks = pack_blocks(docs, block_bytes, tasks)
     shards = max(tasks, -(-total // shard_bytes))
     skipping = blocks.join(repeated_texts(blocks), "block", "left")
-    owners = shared_owners(skipping, shards, tasks)
+    owners = shared_owners(skipping, shards, tasks, hot_texts)
     searching = skipping.join(owners, "block", "left")
     marks = earlier_windows(searching, shards, tasks)
 
@@ -380,7 +436,8 @@ def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes:
             for row in frame.itertuples():
                 own = Block(row)
                 shared = np.sort(merged_lists(row.owners, np.uint64))
-                _, texts, least, found = own.shared_pieces(shared)
+                hot = np.sort(merged_lists(row.hot, np.uint64))
+                _, texts, least, found = own.shared_pieces(shared, hot)
                 mask = np.zeros(len(texts), np.uint64)
                 pairs = merged_lists(row.marks, np.uint64).reshape(-1, 2)
                 mask[pairs[:, 0].astype(np.int64)] = pairs[:, 1]

@@ -139,6 +139,42 @@ def test_suffix_dedup_brute_force(spark, frame, block_bytes, monkeypatch):
     assert got == brute_copies(docs)
 
 
+@pytest.mark.parametrize("hot_texts", [0, 3])
+def test_suffix_dedup_hot_owners_brute_force(spark, frame, hot_texts, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abé "), n))
+    passage = word(90)
+    docs = [(int(i), word(60) + passage[rng.integers(0, 30):] + word(70)) for i in rng.permutation(30)]
+    docs += [(40, "ab" * 400), (41, "ab" * 300), (3, passage), (None, passage), (50, docs[0][1])]
+    monkeypatch.setattr(earlier_copies.earlier_copies, "__defaults__", (2000, 500))
+    monkeypatch.setattr(earlier_copies.earlier_copies, "__kwdefaults__", {"hot_texts": hot_texts})
+    got = sorted((tuple(r) for r in earlier_copies.copy_report(frame(docs)).collect()), key=str)
+    assert got == brute_copies(docs)
+
+
+def test_suffix_dedup_spreads_a_hot_passage(spark, frame):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    passage = word(50)
+    blocks = earlier_copies.pack_blocks(frame([(i, word(40) + passage + word(40)) for i in range(400)]), 4000, 4)
+    blocks = blocks.join(earlier_copies.repeated_texts(blocks), "block", "left")
+    most = {}
+    for hot_texts in (10 ** 9, 50):
+        owners = earlier_copies.shared_owners(blocks, 16, 4, hot_texts)
+        windows = np.zeros(16)
+        for r in earlier_copies.sent_texts(blocks.join(owners, "block", "left"), 16).collect():
+            windows[r.shard] += (earlier_copies.unpacked(r.sizes, np.int32) - earlier_copies.LENGTH + 1).sum()
+        most[hot_texts] = windows.max() / windows.sum()
+    assert most[10 ** 9] > 0.25 and most[50] < 0.125
+
+
+def test_distinct_texts():
+    data = np.frombuffer(b"0123456789abcdef" * 2 + b"0123456789abcdeX", np.uint8)
+    start, end = np.array([0, 16, 32, 0]), np.array([16, 32, 48, 9])
+    found, texts = earlier_copies.distinct_texts(data, np.array([7, 7, 7, 5], np.uint64), start, end)
+    assert found.tolist() == [5, 7] and texts.tolist() == [1, 2]
+
+
 def test_suffix_dedup_tasks_grow_with_input(spark, frame):
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert earlier_copies.tasks_for(spark, 0) == few
