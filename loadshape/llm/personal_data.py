@@ -9,7 +9,9 @@ full extent and validate it:
   quads (ip), card numbers (Luhn) and international phone numbers;
 * ``://``: a ``user:password@`` part (login);
 * cue words (account, IBAN and the like): the number that follows (account,
-  iban with its check digits).
+  iban with its check digits). An IBAN has its country's length, or
+  fills its run of groups; for other countries it ends with the last group with
+  which the check holds.
 
 No match crosses the run it is parsed from, so parsing runs gives exactly the
 leftmost non-overlapping matches of the whole text. A match that fails its
@@ -50,6 +52,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[A-Za-z0-9._~%!$&'*+,;=:-]+@")
 _IBAN = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Lengths by country.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _ACCOUNT = re.compile(r"(?:[ ](?:number|no\.?|nr\.?|num\.?|id))?[ ]?[:#=]{1,2}[ ]?([0-9](?:[ -]?[0-9]){5,17})", re.I)
 #: Fewer characters hold neither a dotted quad, a card nor a phone number.
 _LEAST_NUMERIC = 7
@@ -68,6 +76,23 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_end_of(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN ends whose capitals, digits and spaces fill [start, end),
+    with what follows it."""
+    ends = [i + 1 for i in range(start, end) if text[i] != " "]
+    size = IBAN_LENGTHS.get(text[start: start + 2])
+    if size is not None and len(ends) >= size and not text[ends[size - 1]: ends[size - 1] + 1].isalnum() \
+            and iban_valid(text[start: ends[size - 1]]):
+        return ends[size - 1]
+    if iban_valid(text[start: end]):
+        return end
+    if size is None:
+        for stop in reversed(ends[14:]):
+            if not text[stop: stop + 1].isalnum() and iban_valid(text[start: stop]):
+                return stop
+    return None
+
+
 @cache
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -89,7 +114,7 @@ def digits_of(text: str) -> str:
 
 def numeric_spans(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     for m in _IP.finditer(text, start, end):
-        if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 5) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+        if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split(".")):
             yield "ip", *m.span()
     for m in _CARD.finditer(text, start, end):
         digits = digits_of(m[0])
@@ -125,8 +150,8 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
                 login_end = m.end()
                 spans.append((m.start(), NUMBER["login"], login_end - 1))
         elif kind == "iban":
-            if last >= iban_end and (m := _IBAN.match(text, last + 1)) and iban_valid(m[1]):
-                iban_end = m.end()
+            if last >= iban_end and (m := _IBAN.match(text, last + 1)) and (end := iban_end_of(text, *m.span(1))):
+                iban_end = end
                 spans.append((m.start(1), NUMBER["iban"], iban_end))
         elif last >= account_end and (m := _ACCOUNT.match(text, last + 1)):
             account_end = m.end()

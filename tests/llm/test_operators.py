@@ -250,6 +250,23 @@ def test_personal_brute_force(spark, frame):
         == "login:8:14,email:12:24,iban:31:58"
 
 
+@pytest.mark.parametrize("after", ["", " BIC: COBADEFFXXX", " BIC", " Bank", " 12 34", ", x", " A1 B2 C3 D4 E5 F6 G7 H8"])
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947",
+                                    "XX49 1234 5678 9012 345"])
+def test_iban_ends_before_what_follows(number, after):
+    if number.startswith("XX"):
+        check = next(c for c in range(2, 99) if personal_data.iban_valid(f"XX{c:02d}{number[4:]}"))
+        number = f"XX{check:02d}{number[4:]}"
+    text = f"IBAN: {number}{after}"
+    assert f"iban:6:{6 + len(number)}" in personal_data.listed(personal_data.find_spans(text)).split(",")
+
+
+def test_ip_parts_with_leading_zeros():
+    found = lambda t: personal_data.listed(s for s in personal_data.find_spans(t) if s[1] == 1)
+    assert found("1.2.3.00999") == found("1.2.3.00256") == found("1.2.3." + "9" * 5000) == ""
+    assert found("1.2.3.00255") == "ip:0:11" and found("1.2.3.00000") == "ip:0:11" and found("1.2.3." + "0" * 5000) == "ip:0:5006"
+
+
 # ---- 6 and 10: held-out accuracy ----
 
 @pytest.mark.parametrize("query,label", [(queries.op6_quality, "quality"), (queries.op10_toxicity, "toxic")])
