@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators, their queries and helpers.
+"""Training-data operators: the numbered operators, their queries and helpers.
 
 Nothing else in the library imports this subpackage.
 """

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadshape.llm import (
+    content_sort,
     decontaminate,
+    dual_tree,
     earlier_copies,
     line_templates,
     personal_data,
@@ -18,6 +20,7 @@ from loadshape.llm import (
     sentencepieces,
     simhash,
     toxicity,
+    whitening,
 )
 
 
@@ -74,11 +77,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.content_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_sentencepiece, op3_suffix_array_dedup, op4_secret_scan, op5_personal_data, op6_quality,
-        op7_pivot_index, op8_line_dedup, op9_simhash, op10_toxicity)}
+        op7_pivot_index, op8_line_dedup, op9_simhash, op10_toxicity,
+        op11_code_compression, op12_whitening, op13_content_sort)}
 
 
 def sql_queries() -> dict[str, str]:
-    return {"op4_secret_scan": secret_links.SECRET_REPORT_SQL, "op8_line_dedup": line_templates.LINE_REPORT_SQL}
+    return {"op4_secret_scan": secret_links.SECRET_REPORT_SQL, "op8_line_dedup": line_templates.LINE_REPORT_SQL,
+            "op11_code_compression": dual_tree.CODES_SQL, "op13_content_sort": content_sort.CONTENT_GROUPS_SQL}

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadshape.session import ensure_checkpoint_dir
@@ -143,3 +143,19 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
             yield frame.iloc[:cut]
     if held is not None and len(held):
         yield held
+
+
+def with_group_values(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """``rows`` (a written table) with aggregates of their ``key``, nulls
+    together. Keys that hold a thousandth of the rows or more, a thousand at
+    most, are broadcast, so that a hot key isn't shuffled; the others join."""
+    totals = write_shared(
+        rows.groupBy(F.col(key).alias("of_key")).agg(F.count(F.lit(1)).alias("of_rows"), *[v.alias(c) for c, v in values.items()]),
+        f"{key}-values")
+    n = rows.count()
+    hot = F.broadcast(totals.where(F.col("of_rows") * 1000 >= n).drop("of_rows"))
+    cold = totals.where(F.col("of_rows") * 1000 < n).drop("of_rows")
+    same = F.col(key).eqNullSafe(F.col("of_key"))
+    of_hot = rows.join(hot, same)
+    of_cold = rows.join(hot.select("of_key"), same, "left_anti").join(cold, same)
+    return of_hot.unionByName(of_cold).drop("of_key")
