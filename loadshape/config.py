@@ -123,6 +123,7 @@ REGRESSOR_EXTRA = [
 # Labels, split and ensemble weights.
 # ---------------------------------------------------------------------------
 VALIDATION_DAYS = 31
+PATIENCE = 250                        # rounds without a lower validation loss
 LGB_WEIGHT, XGB_WEIGHT = 0.7, 0.3     # family A / family B blend
 GLOBAL_WEIGHT, ARCHETYPE_WEIGHT = 0.9, 0.1
 NUM_CLASSES = 3

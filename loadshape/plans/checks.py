@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -20,7 +20,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import split as SP
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.meter import SUBMISSION_ORDER, meter_view, time_holdout, with_position
 from . import oracle as O
 from . import oracle_plans as OP
@@ -84,7 +84,7 @@ LOOSE.update({n: 7 for n in FAMILIES["power_rolling_full"] + FAMILIES["temp_roll
 
 # Survey rows covered by each check (for the README coverage table).
 COVERS = {
-    "meter_view": "S1-S4 (source), P1",
+    "meter_view": "P1 (source)",
     "site_archetypes": "A1, A2",
     "calendar_features": "F1-F15, F20, F21",
     "weather_features": "F16-F19, F24-F27",
@@ -115,7 +115,11 @@ COVERS = {
     "event_rows": "P6",
     "aligned_test": "P3",
     "submission_order": "S5 (order)",
-    "one_archetype_submission": "P10, M11",
+    "one_archetype_submission": "P10",
+    "tree_walk_scores": "M2-M5, M7, M11",
+    "time_folds": "M9",
+    "fold_medians": "M8, M12",
+    "calibration_points": "M13",
     "profile_submission": "V1-V4, P7, P9, P10, J2-J4",
     "confusion_matrix": "E1",
     "classification_scores": "E2, E3",
@@ -277,14 +281,78 @@ def q_regression_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_model_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2-M11 end to end (rows-only check: tree ensembles have no SQL
     twin). Small tree counts: label quality is not under test."""
-    from .models import ModelParams
+    from .models import small_params
     from .pipeline import run
     train, test, _ = _holdout(spark, sf_dir)
-    sub, _ = run(spark, train, test, params=ModelParams(clf_iter=3, clf_depth=4, rf_trees=5, rf_depth=6,
-                                                        reg_iter=3, reg_depth=4, reg_b_depth=4))
+    sub, _ = run(spark, train, test, params=small_params(clf_iter=3, clf_depth=4, rf_trees=5, rf_depth=6,
+                                                         reg_iter=3, reg_depth=4, reg_b_depth=4))
     return present(sub.select(*C.SUBMISSION_COLUMNS))
 
 
+#: Inputs of the small tree models below: readings, calendar and window features, with missing values.
+TREE_INPUTS = ["hour", "dayofweek", "is_work_hours", "power_lag_1", "power_diff_4", "temp_roll_mean_4", "rad_roll_sum_12"]
+
+
+def q_tree_walk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2-M5, M7, M11: both archetypes' fitted ensembles as node tables score
+    the test rows in one pass; rows per site whose scores differ from MLlib's."""
+    from . import models as MD
+    from ..operators.trees import forest_table
+    train, test, _ = _holdout(spark, sf_dir)
+    arch = cut_lineage(site_archetypes(test))
+    made = written(blocked_features(attach_archetype(train, arch), keep=TREE_INPUTS), "tree-train")
+    wide = written(blocked_features(attach_archetype(test, arch), keep=TREE_INPUTS), "tree-test")
+    cols = [*C.RAW_NUMERIC, *TREE_INPUTS]
+    params = MD.small_params(clf_iter=3, clf_depth=3, rf_trees=4, rf_depth=4, reg_iter=3, reg_depth=3, reg_b_depth=4, patience=2)
+    tables, rows = {}, None
+    for a in C.ARCHETYPES:
+        train_a, test_a = (SP.restrict_to_archetype(f, arch, a) for f in (made, wide))
+        if train_a.isEmpty() or test_a.isEmpty():
+            continue
+        level = MD.fit_level(train_a, cols, cols, params)
+        tables |= MD.level_tables(level, a)
+        scored = MD.family_scores(level, MD.design_both(test_a, level)).select(
+            C.SITE, "_f_clf", "_f_reg", F.lit(a).alias("of_level"), *[F.col(c).alias(f"mllib{c}") for c in SCORES])
+        rows = scored if rows is None else rows.unionByName(scored)
+    walked = MD.walked_scores(forest_table(tables), rows, F.col("of_level"))
+
+    def differ(c: str) -> Column:
+        one, two = F.col(c), F.col(f"mllib{c}")
+        far = lambda x, y: F.coalesce(F.abs(x - y) > 1e-9, F.lit(True))
+        return F.exists(F.zip_with(one, two, far), lambda b: b) if c in ("_pa", "_pb") else far(one, two)
+
+    return walked.groupBy(C.SITE).agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.count(F.when(differ(c), 1)).alias(f"mismatches{c}") for c in SCORES])
+
+
+SCORES = ["_pa", "_pb", "_cap_a", "_cap_b"]
+
+
+def q_time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tuning import FOLD, time_folds
+    return time_folds(meter_view(spark, sf_dir), 3).select(C.SITE, C.ROW_ID, F.col(FOLD).cast("long").alias("fold"))
+
+
+def q_fold_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8, M12: medians of the training side of every time fold from merged
+    sketches, large enough to be exact on the check tables."""
+    from .tuning import fold_medians, time_folds
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
+    return present(fold_medians(time_folds(feats, 3), IMPUTED, 3, sketch=32_768))
+
+
+def q_calibration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13: isotonic fit of the profile's raw capacity against the actual one
+    on test events, pooled in short ranges."""
+    from ..operators.isotonic import fitted_points
+    from .profile import raw_capacity
+    train, test, truth = _holdout(spark, sf_dir)
+    raw = present(raw_capacity(train, test))
+    events = truth.where((F.col("true_flag") != 0) & F.col("true_cap").isNotNull())
+    points = raw.join(events, [C.SITE, C.ROW_ID]).select(F.col("raw_capacity").alias("x"), F.col("true_cap").alias("y"))
+    return present(fitted_points(points, range_rows=20))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "meter_view": q_meter_view,
@@ -311,6 +379,10 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confusion_matrix": q_confusion_matrix,
         "classification_scores": q_classification_scores,
         "regression_errors": q_regression_errors,
+        "tree_walk_scores": q_tree_walk_scores,
+        "time_folds": q_time_folds,
+        "fold_medians": q_fold_medians,
+        "calibration_points": q_calibration_points,
         "model_submission": q_model_submission,
     })
     return q
@@ -346,6 +418,10 @@ def sql_queries() -> dict[str, str]:
         "confusion_matrix": OP.confusion_sql(),
         "classification_scores": OP.classification_scores_sql(),
         "regression_errors": OP.regression_errors_sql(),
+        "tree_walk_scores": OP.tree_walk_sql(SCORES),
+        "time_folds": OP.time_folds_sql(),
+        "fold_medians": OP.fold_medians_sql(IMPUTED),
+        "calibration_points": OP.calibration_points_sql(),
     })
     return q
 

@@ -219,3 +219,40 @@ SELECT {sql_round('mae')} AS mae, {sql_round('rmse')} AS rmse, {sql_round('maa')
        {sql_round('CASE WHEN maa = 0 THEN NULL ELSE mae / maa END')} AS nmae,
        {sql_round('CASE WHEN maa = 0 THEN NULL ELSE rmse / maa END')} AS nrmse
 FROM em"""
+
+
+def tree_walk_sql(scores: list[str]) -> str:
+    """Every test row is scored; none differs."""
+    none = ", ".join(f"CAST(0 AS BIGINT) AS mismatches{c}" for c in scores)
+    return f"{profile_core_sql()}\nSELECT {S}, count(*) AS n_rows, {none} FROM tea GROUP BY {S}"
+
+
+def _folds(source: str, n_splits: int) -> str:
+    """Fold 0 takes what is left when the others have equal sizes."""
+    return f"""SELECT *, greatest(0, {n_splits} - (n - p) // (n // {n_splits + 1}))::BIGINT AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY {TS}, {S}, {RID}) AS p, count(*) OVER () AS n FROM {source})"""
+
+
+def time_folds_sql(n_splits: int = 3) -> str:
+    return f"WITH {O.METER}, folded AS ({_folds('ml', n_splits)}) SELECT {S}, {RID}, fold FROM folded"
+
+
+def fold_medians_sql(names: list[str], n_splits: int = 3) -> str:
+    made = [n for n in names if n not in C.RAW_NUMERIC]
+    rows = " UNION ALL ".join(
+        f"""SELECT {k} AS fold, '{n}' AS feature, {sql_round(f'quantile_disc(CAST("{n}" AS DOUBLE), 0.5)')} AS median
+FROM folded WHERE fold < {k}""" for n in names for k in range(1, n_splits + 1))
+    return f"{O.features_core(made)}, folded AS ({_folds('f5', n_splits)})\n{rows}"
+
+
+def calibration_points_sql() -> str:
+    """Isotonic fit by its min-max formula: the greatest, over starts up to a
+    point, of the least mean, over ends from it on."""
+    return f"""{profile_core_sql()},
+pts AS (SELECT {sql_round('g_2.craw')} AS x, count(*) AS n, sum(t.{CP}) AS total
+        FROM g_2 JOIN truth t USING ({S}, {RID}) WHERE t.{FL} <> 0 AND t.{CP} IS NOT NULL GROUP BY 1),
+cum AS (SELECT x, n, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(total) OVER w AS ct, total FROM pts WINDOW w AS (ORDER BY x)),
+spans AS (SELECT a.k AS a, b.k AS b, (b.ct - a.ct + a.total) / (b.cn - a.cn + a.n) AS mean FROM cum a JOIN cum b ON a.k <= b.k),
+least AS (SELECT a, b AS k, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM spans),
+fit AS (SELECT k, max(m) AS fitted FROM least GROUP BY k)
+SELECT {sql_round('x')} AS x, CAST(n AS BIGINT) AS n, {sql_round('fitted')} AS fitted FROM cum JOIN fit USING (k)"""

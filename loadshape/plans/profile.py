@@ -64,6 +64,17 @@ def predict_level(totals: DataFrame, test: DataFrame, extra: list[str]) -> DataF
     return level.select(C.SITE, C.ROW_ID, C.TIME, PROBS, CAPACITY)
 
 
+def raw_capacity(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Blended capacity of the global profile for every test row, before
+    gating: what a calibration maps."""
+    totals = written(slot_totals(slots(train.withColumn(ARCH, F.lit(None).cast("string")))), "slot-totals")
+    scored = slots(test)
+    for suffix, slot in (("a", SLOT_A), ("b", SLOT_B)):
+        scored = apply_profile(scored, key_table(totals, [slot]), [slot], suffix)
+    raw = F.lit(C.LGB_WEIGHT) * F.col("c_a") + F.lit(C.XGB_WEIGHT) * F.col("c_b")
+    return scored.select(C.SITE, C.ROW_ID, raw.alias("raw_capacity"))
+
+
 def profile_submission(train: DataFrame, test: DataFrame) -> DataFrame:
     """Global + per-archetype profiles, merged like the model ensemble.
     Archetypes come from the test file (as the original does)."""
