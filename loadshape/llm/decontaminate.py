@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadshape.llm.shared import bound_batches
+from loadshape.llm.shared import bound_batches, packed_rows, unpacked
 
 WINDOW_WORDS = 13
 SHARD_WORDS = 2_000_000
@@ -336,7 +336,7 @@ def cut_words(text: str, spans: list[list[int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """Drop contaminated documents; cut the removal spans out of the rest."""
-    hits = find_contamination(docs, benchmark, window)
+    hits = find_contamination(packed_rows(docs), benchmark, window)
     n_hit = F.aggregate("hit.spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
     clean = hits.where(~((n_hit > 0) & (SHARE_DENOMINATOR * n_hit >= F.col("hit.n_words"))))
 
@@ -347,7 +347,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
 
     hit = F.size("hit.spans") > 0
     text = F.when(hit, cut("text", "hit.spans")).otherwise(F.col("text"))
-    out = clean.withColumn("text", text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n_chars = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(hit, F.length(text).cast(n_chars)).otherwise(F.col("data")["n_chars"])
+    return unpacked(clean, docs.columns, changed)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadshape.llm.shared import all_rows, bound_batches
+from loadshape.llm.shared import all_rows, bound_batches, free_name, packed_rows, unpacked
 
 BUCKET_BITS = 16
 DIM = 16
@@ -213,9 +213,10 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         z = log_odds(texts.tolist(), table, intercept)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    name = free_name(docs, "score")
+    return docs.withColumn(name, score("text")).withColumn(free_name(docs, "predicted"), (F.col(name) >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    return with_score(docs, model).where("predicted = 1").select(*docs.columns)
+    return unpacked(with_score(packed_rows(docs), model).where("predicted = 1"), docs.columns)

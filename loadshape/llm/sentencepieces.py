@@ -2,18 +2,20 @@
 
 The model file is parsed and rebuilt (``piece_model``) once per Python worker.
 Where the vocabulary shows that no piece crosses the start of a marked word,
-a batch of texts is cut into its words, each word that the worker hasn't seen
-is encoded in one multithreaded ``encode_batch`` call, and texts are put
-together from the words' ids: the same ids as encoding whole texts, at a
-fraction of the work. Other vocabularies encode whole texts.
+a batch of texts is cut into its words, the words that the worker hasn't seen
+are encoded by multithreaded ``encode_batch`` calls on lists of them, and texts
+are put together from the words' ids: the same ids as encoding whole texts, at
+a fraction of the work. Other vocabularies encode whole texts.
 
-Parity: every newly seen word (or whole text) is also encoded by the
-sentencepiece library; where ids differ, the library's are taken and the rows
-that hold the word say ``parity`` false.
+All ids are the rebuilt tokenizer's. Parity: the sentencepiece library is the
+judge of every word (or whole text) that a worker sees for the first time; a
+text's ``parity`` is false if the judge differs on one of its words. As words
+encode on their own, that is the parity of the whole text.
 
 Edge cases: null text gives null ids, zero tokens and null decoded text; an
 empty text has no ids and decodes to itself; very long texts hold one id array
-and no per-token objects; repeated rows repeat; other columns pass.
+and no per-token objects; repeated rows repeat; other columns pass, and a new
+column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -32,16 +34,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadshape.llm.piece_model import MARK, PieceModel
-from loadshape.llm.shared import bound_batches
+from loadshape.llm.shared import bound_batches, free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-CACHE_WORDS = 800_000
+#: Bytes of words and their ids that a worker keeps, about.
+CACHE_BYTES = 96 << 20
+#: What an entry of the cache takes beside its characters and ids.
+ENTRY_BYTES = 150
 CALL_CHARS = 200_000
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("parity", T.BooleanType()),
+    T.StructField("round_trip", T.BooleanType()),
 ])
 
 
@@ -58,10 +64,24 @@ def batches_of(texts: list[str], most: int) -> Iterator[list[str]]:
         yield part
 
 
+class PieceTable:
+    """What decoding needs of a model file: the bytes of every piece."""
+
+    def __init__(self, model: PieceModel):
+        self.bytes = np.array(model.piece_bytes(), object)
+        self.dummy_prefix = model.dummy_prefix
+
+    def decode(self, ids: np.ndarray | None) -> str | None:
+        if ids is None:
+            return None
+        text = b"".join(self.bytes[ids]).decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+
+
 class Codec:
     """Encoder and decoder of one model file in one process."""
 
-    def __init__(self, path: str, threads: int = THREADS, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, threads: int = THREADS, cache_bytes: int = CACHE_BYTES):
         # read by the library's thread pool when it first runs in this process
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -70,14 +90,13 @@ class Codec:
         self.model = PieceModel.read(data)
         self.backend = self.model.tokenizer()
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = np.array(self.model.piece_bytes(), object)
-        self.marked = np.array([p.startswith(MARK) for p in self.model.pieces])
+        self.pieces = PieceTable(self.model)
         plain = not self.model.charsmap and not self.model.squeeze_spaces
         self.by_word = plain and self.model.escape_spaces and self.model.dummy_prefix and self.model.splits_at_marks()
         self.word = re.compile("[ ▁]+[^ ▁]*|[^ ▁]+")
         self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()
-        self.cache_words = cache_words
+        self.held, self.cache_bytes = 0, cache_bytes
 
     def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bool]]:
         """Ids (int32 bytes) per text and whether the judge agrees."""
@@ -85,45 +104,27 @@ class Codec:
             ours = self.backend.encode_batch_fast(part, add_special_tokens=False)
             theirs = self.judge.encode(part, num_threads=1)
             for mine, other in zip(ours, theirs):
-                yield np.array(other, np.int32).tobytes(), mine.ids == other
+                ids = mine.ids
+                yield np.array(ids, np.int32).tobytes(), ids == other
+
+    def _keep(self, word: str, ids: bytes, same: bool) -> None:
+        self.cache[word] = ids
+        self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
+        if not same:
+            self.odd.add(word)
 
     def _learn(self, words: list[str]) -> None:
         # " word" as a text of its own would carry one mark more; the dummy prefix adds it back.
         # A lone trailing space would be an empty text, so it is encoded behind a letter.
-        if " " in words or MARK in words:
-            tail = [tuple(e)[len(tuple(l)):] for e, l in (
-                (self.backend.encode("a ").ids, self.backend.encode("a").ids),
-                (self.judge.encode("a "), self.judge.encode("a")))]
-            for lone in (" ", MARK):
-                self.cache[lone] = np.array(tail[1], np.int32).tobytes()
-            if tail[0] != tail[1]:
-                self.odd.update((" ", MARK))
-            words = [w for w in words if w not in (" ", MARK)]
-        # words with one mark, at their start, are encoded as one text: ids split before each marked piece
-        plain = [w for w in words if w.rfind(" ") == 0 and MARK not in w]
-        for part in batches_of(plain, CALL_CHARS // 8):
-            text = "".join(part)[1:]
-            ours = self.backend.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            ours, theirs = (self._by_mark(np.array(x, np.int32)) for x in (ours, self.judge.encode(text)))
-            if len(theirs) != len(part):
-                words = [*words, *part]
-                continue
-            agree = len(ours) == len(theirs)
-            for i, (word, ids) in enumerate(zip(part, theirs)):
-                self.cache[word] = ids
-                if not agree or ours[i] != ids:
-                    self.odd.add(word)
-        words = [w for w in words if w not in self.cache]
-        for word, (ids, same) in zip(words, self._encode([w[1:] for w in words])):
-            self.cache[word] = ids
-            if not same:
-                self.odd.add(word)
-
-    def _by_mark(self, ids: np.ndarray) -> list[bytes]:
-        """Ids cut before each piece that starts with a mark, as bytes."""
-        cuts = (np.flatnonzero(self.marked[ids]) * 4).tolist()
-        data = ids.tobytes()
-        return [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)])]
+        lone = [w for w in words if w in (" ", MARK)]
+        if lone:
+            ours, theirs = ([encode(t) for t in ("a", "a ")] for encode in (
+                lambda t: self.backend.encode(t, add_special_tokens=False).ids, self.judge.encode))
+            for w in lone:
+                self._keep(w, np.array(ours[1][len(ours[0]):], np.int32).tobytes(), ours == theirs)
+        words = [w for w in words if w not in (" ", MARK)]
+        for word, (ids, same) in zip(words, self._encode([w[1:] if w[0] in (" ", MARK) else w for w in words])):
+            self._keep(word, ids, same)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, bool]]:
         if not self.by_word:
@@ -137,9 +138,10 @@ class Codec:
                 cut = [self.word.findall(" " + t) if t else [] for t in part]
                 fresh = {w for words in cut for w in words}.difference(self.cache)
                 if fresh:
-                    if len(self.cache) > self.cache_words:
+                    if self.held > self.cache_bytes:
                         self.cache.clear()
                         self.odd.clear()
+                        self.held = 0
                         fresh = {w for words in cut for w in words}
                     self._learn(list(fresh))
                 get = self.cache.__getitem__
@@ -148,11 +150,7 @@ class Codec:
         return [(None if t is None else np.frombuffer(ids, np.int32), same) for t, (ids, same) in zip(texts, out)]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
-        if ids is None:
-            return None
-        data = b"".join(self.bytes[ids])
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        return self.pieces.decode(ids)
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
@@ -164,25 +162,37 @@ def codec(path: str, threads: int = THREADS) -> Codec:
     return _codecs[path, threads]
 
 
+_tables: dict[str, PieceTable] = {}
+
+
+def piece_table(path: str) -> PieceTable:
+    if path not in _tables:
+        with open(path, "rb") as f:
+            _tables[path] = PieceTable(PieceModel.read(f.read()))
+    return _tables[path]
+
+
 def encoded(text: Column, path: str = MODEL, threads: int = THREADS) -> Column:
-    """Struct of the token ids of a text column and the parity verdict."""
+    """Struct of the token ids of a text column, the parity verdict and
+    whether decoding gives the text back, all from one pass."""
 
     @F.pandas_udf(ENCODED)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, threads)
         for texts in batches:
-            found = own.encode([None if t is None else t for t in texts])
-            yield pd.DataFrame({"ids": [i for i, _ in found], "parity": [p for _, p in found]})
+            found = own.encode(list(texts))
+            yield pd.DataFrame({"ids": [i for i, _ in found], "parity": [p for _, p in found],
+                                "round_trip": [own.decode(i) == t for t, (i, _) in zip(texts, found)]})
 
     return encode(text)
 
 
-def decoded(ids: Column, path: str = MODEL, threads: int = THREADS) -> Column:
-    """Text of a column of token ids."""
+def decoded(ids: Column, path: str = MODEL) -> Column:
+    """Text of a column of token ids; a worker holds the piece table only."""
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, threads)
+        own = piece_table(path)
         for rows in batches:
             yield pd.Series([own.decode(None if r is None else np.asarray(r, np.int64)) for r in rows], dtype=object)
 
@@ -190,11 +200,13 @@ def decoded(ids: Column, path: str = MODEL, threads: int = THREADS) -> Column:
 
 
 def tokenize(docs: DataFrame, path: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """``docs`` with ``token_ids`` and ``parity``."""
+    """``docs`` with ``token_ids``, ``parity`` and ``round_trip``."""
     bound_batches(docs.sparkSession)
-    return (docs.withColumn("__piece", encoded(F.col("text"), path, threads))
-            .withColumn("token_ids", F.col("__piece.ids")).withColumn("parity", F.col("__piece.parity"))
-            .drop("__piece"))
+    piece = free_name(docs, "piece")
+    out = docs.withColumn(piece, encoded(F.col("text"), path, threads))
+    for field, name in (("ids", "token_ids"), ("parity", "parity"), ("round_trip", "round_trip")):
+        out = out.withColumn(free_name(docs, name), F.col(piece)[field])
+    return out.drop(piece)
 
 
 REPORT = T.StructType([
@@ -214,7 +226,7 @@ def encoding_report(docs: DataFrame, path: str = MODEL, threads: int = THREADS)
     @F.pandas_udf(REPORT)
     def report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, threads)
-        names = np.array([str(i).encode() for i in range(len(own.bytes))], object)
+        names = np.array([str(i).encode() for i in range(len(own.pieces.bytes))], object)
         for texts in batches:
             rows = []
             for text, (ids, same) in zip(texts, own.encode(list(texts))):

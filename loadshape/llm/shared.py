@@ -43,6 +43,27 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while ``df`` has such a column, so
+    that a new column never replaces one of the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside the whole row as one struct ``data``: names that
+    an operator adds can't clash with the caller's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("data"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The caller's columns out of ``data``, some of them ``changed``."""
+    changed = changed or {}
+    return rows.select(*[changed.get(c, F.col("data")[c]).alias(c) for c in columns])
+
+
 def all_rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     """One frame of all (None if there are none), for bounded samples only."""
     found = [f for f in frames if len(f)]

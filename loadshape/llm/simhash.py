@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadshape.llm.shared import bound_batches, components, star_edges, whole_groups, write_shared
+from loadshape.llm.shared import bound_batches, components, packed_rows, star_edges, unpacked, whole_groups, write_shared
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -185,30 +185,34 @@ def near_duplicates(prints: DataFrame, max_bits: int = MAX_BITS, block_rows: int
     return found.select(F.col("node").alias("fp"), F.col("root").alias("root_fp"))
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                   keep: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` (its ``keep`` columns, doc_id by default) with
-    ``fp``, ``root_fp`` (one per component) and ``component_id``, the smallest
-    doc_id reachable by links."""
-    keep = keep or ["doc_id"]
-    prints = write_shared(with_fingerprint(docs.select(*dict.fromkeys([*keep, "text"])), shingle).select(*keep, "fp"),
-                          "simhash-prints")
+def group_members(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Per distinct fingerprint of ``prints`` (doc_id, fp): of_fp, root_fp (one
+    per component) and component_id, the smallest doc_id reachable by links."""
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = near_duplicates(prints, max_bits)
     rooted = each.join(linked, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
     rooted = write_shared(rooted, "simhash-roots")
     names = rooted.groupBy("root_fp").agg(F.min("least").alias("component_id"))
-    member = write_shared(
+    return write_shared(
         rooted.join(names, "root_fp").select(F.col("fp").alias("of_fp"), "root_fp", "component_id"), "simhash-members")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Every row of ``docs``: doc_id, ``fp``, ``root_fp`` and ``component_id``."""
+    prints = write_shared(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash-prints")
+    member = group_members(prints, max_bits)
     return prints.join(member, prints.fp == member.of_fp).drop("of_fp")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id
-    (nulls last); of repeated rows of that id, one."""
-    columns = docs.columns
-    rows = simhash_groups(docs.withColumn("__row", F.monotonically_increasing_id()), shingle, max_bits,
-                          keep=[*columns, "__row"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
-    picked = rows.groupBy("root_fp").agg(first.alias("pick")).select(F.col("pick.__row").alias("__row"))
-    return rows.join(picked, "__row", "left_semi").select(*columns)
+    (nulls last); of repeated rows of that id, one. Rows are written once with
+    their number and fingerprint; groups are formed from these alone, and a
+    semi join takes the rows that stay."""
+    rows = packed_rows(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = write_shared(with_fingerprint(rows, shingle).select("doc_id", "row", "fp", "data"), "simhash-rows")
+    prints = rows.select("doc_id", "row", "fp")
+    member = group_members(prints, max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    picked = prints.join(member, prints.fp == member.of_fp).groupBy("root_fp").agg(first.alias("pick"))
+    return unpacked(rows.join(picked.select(F.col("pick.row").alias("row")), "row", "left_semi"), docs.columns)

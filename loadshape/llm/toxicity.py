@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadshape.llm.quality import held_out
-from loadshape.llm.shared import all_rows, bound_batches
+from loadshape.llm.shared import all_rows, bound_batches, free_name
 
 #: Bound of the training sample: rows of each label.
 SAMPLE_ROWS = 2500
@@ -307,4 +307,5 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             z = x @ own.weights[:-1] + own.weights[-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    name = free_name(docs, "score")
+    return docs.withColumn(name, score("text")).withColumn(free_name(docs, "predicted"), (F.col(name) >= 0.5).cast("int"))

@@ -283,7 +283,7 @@ def test_classifier_edges(spark, frame, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     label = "quality" if module is quality else "toxic"
     model = module.fit(frame(EDGE), none, label)
-    docs = frame(EDGE).drop("score")
+    docs = frame(EDGE, False)
     rows = module.with_score(docs, model).collect()
     assert len(rows) == len(EDGE) and all(r.score == 0.5 and r.predicted == 1 for r in rows)
     assert module.with_score(docs.limit(0), model).count() == 0
@@ -374,7 +374,7 @@ def test_simhash_brute_force(spark, frame):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(12)]
     docs = [(i, base[i % 12] + (f" Extra{i}" if i % 4 else "")) for i in range(60)] + [e for e in EDGE]
-    rows = simhash.simhash_groups(frame(docs).drop("fp")).collect()
+    rows = simhash.simhash_groups(frame(docs)).collect()
     prints = [brute_print(t) for _, t in docs]
     got = sorted((str(r.doc_id), r.fp % 2 ** 64, str(r.component_id)) for r in rows)
     u = np.array(prints, np.uint64)
@@ -385,7 +385,7 @@ def test_simhash_brute_force(spark, frame):
         if d is not None:
             least[k] = min(d, least.get(k, d))
     assert got == sorted((str(d), p, str(least.get(k))) for (d, _), p, k in zip(docs, prints, label))
-    kept = simhash.keep_one_of_each(frame(docs).drop("fp"))
+    kept = simhash.keep_one_of_each(frame(docs))
     assert kept.count() == len(set(label))
 
 
