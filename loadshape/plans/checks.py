@@ -8,6 +8,7 @@ whole meter table, every row, and present the family's columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,8 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import split as SP
-from ..session import cut_lineage, written
-from ..sources.meter import SUBMISSION_ORDER, meter_view, time_holdout, with_position
+from ..session import cut_lineage, ensure_checkpoint_dir, written
+from ..sources.meter import SUBMISSION_ORDER, load_meter_csv, meter_view, read_meter_csv, time_holdout, with_position
 from . import oracle as O
 from . import oracle_plans as OP
 from .present import present, sql_round
@@ -85,6 +86,9 @@ LOOSE.update({n: 7 for n in FAMILIES["power_rolling_full"] + FAMILIES["temp_roll
 # Survey rows covered by each check (for the README coverage table).
 COVERS = {
     "meter_view": "P1 (source)",
+    "meter_load": "S1, S3, S4",
+    "meter_rejects": "S1, S4",
+    "meter_unlabelled": "S2, S4",
     "site_archetypes": "A1, A2",
     "calendar_features": "F1-F15, F20, F21",
     "weather_features": "F16-F19, F24-F27",
@@ -158,6 +162,53 @@ def q_meter_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(meter_view(spark, sf_dir))
 
 
+#: Lines of the CSV copy that are spoilt: a number, a time, missing fields.
+SPOILT = (101, 103, 107)
+
+
+def csv_copy(spark: SparkSession, sf_dir: str) -> str:
+    """The meter table as CSV files in order of row id, some lines spoilt."""
+    meter = meter_view(spark, sf_dir)
+    rid, names = F.col(C.ROW_ID), [C.SITE, C.TIME, C.TEMP, C.RAD, C.POWER, C.FLAG, C.CAP]
+    text = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names}
+    text[C.POWER] = F.when(rid % SPOILT[0] == 0, F.lit("n/a")).otherwise(text[C.POWER])
+    text[C.TIME] = F.when(rid % SPOILT[1] == 0, F.lit("2024-13-45 00:00:00")).otherwise(text[C.TIME])
+    line = F.when(rid % SPOILT[2] == 0, F.concat_ws(",", *[text[c] for c in names[:3]])).otherwise(
+        F.concat_ws(",", *text.values()))
+    ordered = meter.select(C.ROW_ID, line.alias("value")).repartitionByRange(5, C.ROW_ID).sortWithinPartitions(C.ROW_ID)
+
+    def with_header(frames):
+        import pandas as pd
+        yield pd.DataFrame({"value": [",".join(names)]})
+        for frame in frames:
+            yield frame[["value"]]
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/meter-csv-{uuid.uuid4().hex}"
+    ordered.mapInPandas(with_header, "value string").write.text(path)
+    return path
+
+
+def q_meter_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, S3, S4: good rows of a load, after a path that doesn't exist."""
+    path = csv_copy(spark, sf_dir)
+    return present(load_meter_csv(spark, [f"{path}-missing", path]).rows)
+
+
+def q_meter_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, S4: the rejected lines' numbers beside the counts of the load."""
+    load = load_meter_csv(spark, csv_copy(spark, sf_dir))
+    return present(load.rejects.select(C.ROW_ID, F.lit(load.n_rows).alias("n_rows"), F.lit(load.n_rejected).alias("n_rejected")))
+
+
+def q_meter_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2: the unlabelled layout, read from a copy of the test file."""
+    _, test, _ = _holdout(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/meter-csv-{uuid.uuid4().hex}"
+    test.orderBy(C.ROW_ID).select(C.SITE, C.TIME, C.TEMP, C.RAD, C.POWER).write.option("header", True) \
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    return present(read_meter_csv(spark, path, labelled=False, most_rejected=0.0))
+
+
 def q_site_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(site_archetypes(meter_view(spark, sf_dir)))
 
@@ -356,6 +407,9 @@ def q_calibration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "meter_view": q_meter_view,
+        "meter_load": q_meter_load,
+        "meter_rejects": q_meter_rejects,
+        "meter_unlabelled": q_meter_unlabelled,
         "site_archetypes": q_site_archetypes,
     }
     for name, cols in FAMILIES.items():
@@ -392,8 +446,19 @@ def sql_queries() -> dict[str, str]:
     meter_cols = ", ".join([O.S, O.RID, O.TS] + [
         f"{sql_round(c)} AS {c}" for c in (O.TT, O.RR, O.PP)] + [
         f"CAST({O.FL} AS BIGINT) AS {O.FL}", f"{sql_round(O.CP)} AS {O.CP}"])
+    numbered = f"numbered AS (SELECT *, row_number() OVER (ORDER BY {O.RID}) - 1 AS place FROM ml)"
+    spoilt = " OR ".join(f"{O.RID} % {k} = 0" for k in SPOILT)
+    loaded = meter_cols.replace(f", {O.RID},", f", place AS {O.RID},", 1)
+    unlabelled = ", ".join([O.S, f"row_number() OVER (ORDER BY {O.RID}) - 1 AS {O.RID}", O.TS, *[
+        f"{sql_round(c)} AS {c}" for c in (O.TT, O.RR, O.PP)]])
     q = {
         "meter_view": f"WITH {O.METER} SELECT {meter_cols} FROM ml",
+        "meter_load": f"WITH {O.METER}, {numbered} SELECT {loaded} FROM numbered WHERE NOT ({spoilt})",
+        "meter_rejects": f"""WITH {O.METER}, {numbered}
+SELECT place AS {O.RID}, (SELECT count(*) FROM ml WHERE NOT ({spoilt})) AS n_rows,
+       (SELECT count(*) FROM ml WHERE {spoilt}) AS n_rejected FROM numbered WHERE {spoilt}""",
+        "meter_unlabelled": f"""WITH {O.METER}, cut AS (SELECT max({O.TS}) - INTERVAL {HOLDOUT_DAYS} DAY AS c FROM ml)
+SELECT {unlabelled} FROM ml, cut WHERE {O.TS} >= cut.c""",
         "site_archetypes": (f"WITH {O.METER}, {O.ARCHETYPES} "
                             f"SELECT {O.S}, {sql_round('mean_power')} AS mean_power, site_archetype FROM arch"),
     }

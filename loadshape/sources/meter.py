@@ -1,7 +1,8 @@
 """Meter sources (S1-S4) and the submission sink (S5).
 
-* ``read_meter_csv`` reads the challenge CSV layout with a fixed schema (no
-  inference pass over 100 TB) and adds the explicit row-order tie-breaker.
+* ``load_meter_csv`` reads the challenge CSV layout with a fixed schema (no
+  inference pass over 100 TB), sets lines that don't parse apart and numbers
+  rows in file order, whatever the splits; ``read_meter_csv`` is its good rows.
 * ``meter_view`` derives the same seven-column meter table from the shared
   ``events`` test table, so every check query reads real input whose size
   grows with the scale factor.
@@ -10,14 +11,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import config as C
-from ..session import cut_lineage
+from ..operators.sizing import small_side
+from ..session import cut_lineage, written
 
 TRAIN_SCHEMA = T.StructType([
     T.StructField(C.SITE, T.StringType()),
@@ -31,25 +35,31 @@ TRAIN_SCHEMA = T.StructType([
 TEST_SCHEMA = T.StructType(TRAIN_SCHEMA.fields[:5])
 
 
-def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool = True) -> DataFrame:
-    """S1/S2/S4: header CSV with a declared schema; ``Timestamp_Local`` is
-    parsed as TIMESTAMP_NTZ (local wall-clock time, never shifted by the
-    session zone). ``path`` may be a list: the first existing one is used
-    (S3, path fallback). Dates with or without a time, seconds, fractions or a
-    ``T`` are read; a row that doesn't parse fails the read rather than
-    becoming NULL."""
-    paths = [path] if isinstance(path, str) else list(path)
-    schema = TRAIN_SCHEMA if labelled else TEST_SCHEMA
+BAD_LINE = "_line"
+
+
+@dataclass
+class MeterLoad:
+    """What a CSV load found: good rows, rejected lines, counts of both."""
+    rows: DataFrame          # the schema's columns and row_id
+    rejects: DataFrame       # row_id, file, line
+    n_rows: int
+    n_rejected: int
+
+
+def first_existing(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """S3: the first of ``paths`` that exists, as CSV lines with a header."""
     last_error: Exception | None = None
     for p in paths:
         try:
             df = (spark.read.schema(schema)
                   .option("header", True)
-                  .option("mode", "FAILFAST")
+                  .option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", BAD_LINE)
                   .option("timestampNTZFormat", "yyyy-MM-dd[['T'][ ]HH:mm[:ss[.SSSSSS][.SSS]]]")
                   .csv(p))
             df.schema  # resolves the path now so a missing file falls through
-            return df.withColumn(C.ROW_ID, F.monotonically_increasing_id())
+            return df
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -57,6 +67,49 @@ def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool =
     raise FileNotFoundError(f"none of {paths} is readable") from last_error
 
 
+def load_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool = True) -> MeterLoad:
+    """S1/S2/S4: header CSV with a declared schema; ``Timestamp_Local`` is
+    parsed as TIMESTAMP_NTZ (local wall-clock time, never shifted by the
+    session zone). ``path`` may be a list: the first existing one is used
+    (S3, path fallback). Dates with or without a time, seconds, fractions or a
+    ``T`` are read.
+
+    The text is parsed once, into a table in the shared folder. A line with a
+    field that doesn't parse, or with too few or too many fields, becomes a
+    reject; it neither fails the load nor leaves NULLs in a row.
+
+    ``row_id`` is the line's position, from 0, in the files in order of their
+    names, rejected lines included: lines are numbered inside the piece of a
+    file that a task reads, and pieces by the lines before them. So it is the
+    same for any size of pieces and any number of tasks."""
+    schema = TRAIN_SCHEMA if labelled else TEST_SCHEMA
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = first_existing(spark, paths, T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())]))
+    counted = Observation()
+    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_nth"))
+    lines = lines.observe(counted, F.count(F.lit(1)).alias("n"), F.count(BAD_LINE).alias("bad"))
+    held = written(lines, "meter-lines")
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)   # one row per piece of a file
+    pieces = written(held.groupBy("_file", "_block").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "meter-pieces")
+    numbered = held.join(small_side(pieces), ["_file", "_block"]).withColumn(
+        C.ROW_ID, F.col("_before") + F.col("_nth") - F.col("_first"))
+    good = numbered.where(F.col(BAD_LINE).isNull()).select(*[F.col(f"`{f.name}`") for f in schema], C.ROW_ID)
+    bad = numbered.where(F.col(BAD_LINE).isNotNull()).select(C.ROW_ID, F.col("_file").alias("file"), F.col(BAD_LINE).alias("line"))
+    found = counted.get
+    return MeterLoad(good, bad, found["n"] - found["bad"], found["bad"])
+
+
+def read_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool = True, most_rejected: float = 0.01) -> DataFrame:
+    """Good rows of ``load_meter_csv``. More rejected lines than the share
+    ``most_rejected`` mean that the file isn't of this layout: an error."""
+    load = load_meter_csv(spark, path, labelled)
+    if load.n_rejected > most_rejected * (load.n_rows + load.n_rejected):
+        raise ValueError(f"{load.n_rejected} of {load.n_rows + load.n_rejected} lines of {path} don't parse")
+    return load.rows
+
+
 def meter_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meter feed over the shared ``events`` table (13 sites, nulls injected,
     site power means on both sides of the archetype threshold)."""
