@@ -111,6 +111,7 @@ COVERS = {
     "class_weights": "A6, P9",
     "archetype_subsets": "P4, J1",
     "correlation_pairs": "A4",
+    "correlation_levels": "A4, M11",
     "correlated_drops": "A5",
     "classifier_features": "M1, A5",
     "regressor_features": "M1, A5",
@@ -243,6 +244,13 @@ def q_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(_pairs(spark, sf_dir).select("feature_i", "feature_j", "abs_corr"))
 
 
+def q_correlation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 for all rows and per archetype, from one pass."""
+    feats = blocked_features(featured_meter(spark, sf_dir), keep=FE.BASELINE)
+    found = SEL.correlation_levels(feats, SEL.correlation_candidates(), "site_archetype", tuple(C.ARCHETYPES))
+    return present(found.select("level", "feature_i", "feature_j", "abs_corr"))
+
+
 def q_correlated_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SEL.correlated_drops(_pairs(spark, sf_dir)).select("feature")
 
@@ -420,6 +428,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "class_weights": q_class_weights,
         "archetype_subsets": q_archetype_subsets,
         "correlation_pairs": q_correlation_pairs,
+        "correlation_levels": q_correlation_levels,
         "correlated_drops": q_correlated_drops,
         "classifier_features": edited_features_query(C.CLASSIFIER_OUT, C.CLASSIFIER_IN),
         "regressor_features": edited_features_query(C.REGRESSOR_OUT, C.REGRESSOR_IN),
@@ -470,6 +479,7 @@ SELECT {unlabelled} FROM ml, cut WHERE {O.TS} >= cut.c""",
         "class_weights": OP.class_weights_sql(),
         "archetype_subsets": OP.archetype_subsets_sql(),
         "correlation_pairs": OP.corr_pairs_sql(),
+        "correlation_levels": OP.corr_levels_sql(),
         "correlated_drops": OP.corr_drops_sql(),
         "classifier_features": OP.edited_features_sql(C.CLASSIFIER_OUT, C.CLASSIFIER_IN),
         "regressor_features": OP.edited_features_sql(C.REGRESSOR_OUT, C.REGRESSOR_IN),

@@ -33,23 +33,32 @@ SELECT site_archetype, CAST(count(DISTINCT {S}) AS BIGINT) AS n_sites, CAST(coun
 FROM ml JOIN arch USING ({S}) GROUP BY site_archetype"""
 
 
-def corr_pairs_sql() -> str:
+def _corr_sql(source: str, level: str) -> str:
     cands = correlation_candidates()
-    names = ", ".join(f"'{c}'" for c in cands)
-    base = O.features_sql_raw(FE.BASELINE)
-    pairs = []
-    for i in range(len(cands)):
-        for j in range(i + 1, len(cands)):
-            pairs.append(f'corr(CAST("{cands[i]}" AS DOUBLE), CAST("{cands[j]}" AS DOUBLE)) AS "{i}|{j}"')
-    return f"""{base},
-agg AS (SELECT {', '.join(pairs)} FROM feats),
-long AS (SELECT * FROM agg UNPIVOT INCLUDE NULLS (r FOR pair IN (COLUMNS(*)))),
-parsed AS (SELECT CAST(split_part(pair, '|', 1) AS INTEGER) AS i,
+    pairs = [f'corr(CAST("{cands[i]}" AS DOUBLE), CAST("{cands[j]}" AS DOUBLE)) AS "{i}|{j}"'
+             for i in range(len(cands)) for j in range(i + 1, len(cands))]
+    return f"""
+agg AS (SELECT {level} AS level, {', '.join(pairs)} FROM {source} GROUP BY 1),
+long AS (SELECT * FROM agg UNPIVOT INCLUDE NULLS (r FOR pair IN (COLUMNS(* EXCLUDE (level))))),
+parsed AS (SELECT level, CAST(split_part(pair, '|', 1) AS INTEGER) AS i,
                   CAST(split_part(pair, '|', 2) AS INTEGER) AS j,
-                  CASE WHEN r IS NULL OR isnan(r) THEN NULL ELSE least(abs(r), 1.0) END AS r FROM long)
-SELECT [{names}][i + 1] AS feature_i, [{names}][j + 1] AS feature_j,
-       {sql_round('r')} AS abs_corr
-FROM parsed"""
+                  CASE WHEN r IS NULL OR isnan(r) THEN NULL ELSE least(abs(r), 1.0) END AS r FROM long)"""
+
+
+def _named_pairs() -> str:
+    names = ", ".join(f"'{c}'" for c in correlation_candidates())
+    return f"[{names}][i + 1] AS feature_i, [{names}][j + 1] AS feature_j, {sql_round('r')} AS abs_corr"
+
+
+def corr_pairs_sql() -> str:
+    base = O.features_sql_raw(FE.BASELINE)
+    return f"{base},{_corr_sql('feats', chr(39) + 'all' + chr(39))}\nSELECT {_named_pairs()} FROM parsed"
+
+
+def corr_levels_sql() -> str:
+    return f"""{O.features_core(FE.BASELINE)},
+leveled AS (SELECT *, unnest(['all', site_archetype]) AS at_level FROM f5),{_corr_sql('leveled', 'at_level')}
+SELECT level, {_named_pairs()} FROM parsed"""
 
 
 def corr_drops_sql() -> str:
