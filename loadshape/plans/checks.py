@@ -75,9 +75,7 @@ FAMILIES: dict[str, list[str]] = {
                             "temp_x_power_roll_mean_12"],
 }
 
-# Columns whose two engines use different (both exact-in-theory) algorithms
-# are presented with fewer decimals.
-LOOSE = {n: 4 for n in FAMILIES["rolling_moments"]}
+LOOSE: dict[str, int] = {}
 # Means of 2-decimal readings over 2^k*3 rows end exactly on a 7th-decimal
 # tie; one more decimal keeps them off the rounding boundary.
 LOOSE.update({n: 7 for n in FAMILIES["power_rolling_full"] + FAMILIES["temp_rolling_partial"]

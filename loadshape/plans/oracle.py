@@ -134,13 +134,21 @@ def row_local_sql() -> dict[str, str]:
 
 
 def _moment(kind: str, n: int) -> str:
+    """From the frame's deviations from their mean, so that no power sums cancel."""
     f = fr(n)
     k = f"count({PP}) OVER {f}"
     const = "0.0" if kind == "skewness" else "-3.0"
+    power = lambda p: f"list_sum(list_transform(d, lambda e: {' * '.join(['e'] * p)}))"
+    c = "len(d)::DOUBLE"
+    if kind == "skewness":
+        value = f"{c} * sqrt({c} - 1) / ({c} - 2) * {power(3)} / pow({power(2)}, 1.5)"
+    else:
+        value = f"({c} - 1) / (({c} - 2) * ({c} - 3)) * (({c} + 1) * ({c} * {power(4)} / pow({power(2)}, 2) - 3) + 6)"
+    away = "list_transform(list_filter(v, lambda x: x IS NOT NULL), lambda x: x - list_avg(v))"
     return (f"(CASE WHEN {k} < 4 THEN NULL "
             f"WHEN min({PP}) OVER {f} = max({PP}) OVER {f} THEN {const} "
             f"WHEN var_pop({PP}) OVER {f} <= 1e-14 THEN NULL "
-            f"ELSE {kind}({PP}) OVER {f} END)")
+            f"ELSE list_transform([list({PP}) OVER {f}], lambda v: list_transform([{away}], lambda d: {value})[1])[1] END)")
 
 
 def window_sql() -> dict[str, str]:

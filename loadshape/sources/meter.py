@@ -93,7 +93,7 @@ def load_meter_csv(spark: SparkSession, path: str | list[str], labelled: bool =
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)   # one row per piece of a file
     pieces = written(held.groupBy("_file", "_block").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "meter-pieces")
-    numbered = held.join(small_side(pieces), ["_file", "_block"]).withColumn(
+    numbered = held.join(small_side(pieces, row_bytes=512), ["_file", "_block"]).withColumn(
         C.ROW_ID, F.col("_before") + F.col("_nth") - F.col("_first"))
     good = numbered.where(F.col(BAD_LINE).isNull()).select(*[F.col(f"`{f.name}`") for f in schema], C.ROW_ID)
     bad = numbered.where(F.col(BAD_LINE).isNotNull()).select(C.ROW_ID, F.col("_file").alias("file"), F.col(BAD_LINE).alias("line"))
