@@ -51,21 +51,26 @@ def masked_tokens(line: Column) -> Column:
 
 
 def constants(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: t != FIELD))
+    return F.size(F.array_remove(tokens, FIELD))
 
 
-def hashed_line(line: Column) -> Column:
-    """Struct of a trimmed line's own hash, its leaf and group hashes, the token
-    count ``n`` and the groups' constants."""
-    tokens = masked_tokens(line)
-    rest = F.size(tokens) - DEPTH
+def hashed_lines(lines: DataFrame) -> DataFrame:
+    """Trimmed lines (doc, line_no, line) as their own hash, leaf and group
+    hashes, the token count ``n``, and the constants of the line and its groups.
+    Tokens and groups are columns of a projection before, so that each is
+    formed once."""
+    rest = F.size("tokens") - DEPTH
     edge = [F.floor(rest * j / GROUPS).cast("int") for j in range(GROUPS + 1)]
-    groups = [F.slice(tokens, edge[j] + DEPTH + 1, F.greatest(edge[j + 1] - edge[j], F.lit(0))) for j in range(GROUPS)]
-    return F.struct(
-        F.size(tokens).alias("n"), F.xxhash64(line).alias("own"),
-        F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"),
+    cut = lines.select("doc", "line_no", F.xxhash64("line").alias("own"), masked_tokens(F.col("line")).alias("tokens")).select(
+        "doc", "line_no", "own", "tokens", *[
+            F.slice("tokens", edge[j] + DEPTH + 1, F.greatest(edge[j + 1] - edge[j], F.lit(0))).alias(f"group{j}")
+            for j in range(GROUPS)])
+    groups = [F.col(f"group{j}") for j in range(GROUPS)]
+    return cut.select(
+        "doc", "line_no", "own", F.size("tokens").alias("n"),
+        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
         F.array(*[F.xxhash64(F.lit(j), g) for j, g in enumerate(groups)]).alias("groups"),
-        constants(tokens).alias("n_constant"), F.array(*[constants(g) for g in groups]).alias("group_constants"))
+        constants(F.col("tokens")).alias("n_constant"), F.array(*[constants(g) for g in groups]).alias("group_constants"))
 
 
 def enough(constant: Column) -> Column:
@@ -91,12 +96,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, lines): the numbers, from 0 and rising, of the lines to drop."""
     cut = docs.where("text IS NOT NULL").select(document_key().alias("doc"), F.split("text", "\n").alias("lines"))
     lines = (
-        cut.select("doc", F.posexplode("lines").alias("line_no", "line"))
+        cut.select("doc", F.posexplode_outer("lines").alias("line_no", "line"))
         .select("doc", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line")).where(F.length("line") >= MIN_CHARS)
-        .select("doc", "line_no", hashed_line(F.col("line")).alias("h"))
-        .select("doc", "line_no", "h.*")
     )
-    lines = write_shared(lines, "lines")
+    lines = write_shared(hashed_lines(lines), "lines")
     leaves = write_shared(
         lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= min_docs)
         .select(F.col("leaf").alias("of_leaf")), "line-leaves")
