@@ -22,6 +22,8 @@ doc_id stays null; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,8 +157,17 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.sha2(text_of("base"), 256).alias("base_sha256"), text_of("all_spans").alias("spans"))
 
 
+def _ascii_folded(pattern: str) -> str:
+    """Letters of either case as classes: DuckDB's (?i) also folds letters
+    beyond ASCII (long s, Kelvin sign), Java's doesn't."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    one = lambda m: m[0] if len(m[0]) > 1 else f"[{m[0].upper()}{m[0]}]"
+    return re.sub(r"\\x[0-9A-F]{2}|\[[^\]]*\]|[a-z]", one, pattern[4:])
+
+
 def _matches_sql(kind: str, pattern: str) -> str:
-    quoted = pattern.replace("'", "''")
+    quoted = _ascii_folded(pattern).replace("'", "''")
     group = f"len(regexp_extract(m[i], '{quoted}', 2))" if kind == "assign" else "len(m[i])"
     return f"""SELECT rid, '{kind}' AS kind, {ORDER.index(kind) + 1} AS kind_no,
       CAST(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s,
