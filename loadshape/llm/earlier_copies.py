@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -154,13 +155,22 @@ def earlier_factor_lengths(text: np.ndarray, starts: np.ndarray, rank: np.ndarra
     order. Lengths below ``length`` are reported as 0."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts])
-    order = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
-    rows, ranked = rows[order], rank[order]
+    # rows of whole words, the last one filled up, so that neighbours are compared word by word
+    wide = -(-length // 8) * 8
+    rows = np.zeros((len(starts), wide), np.uint8)
+    rows[:, :length] = np.lib.stride_tricks.sliding_window_view(text, length)[starts]
+    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
+    ranked = rank[order]
     lcp = np.zeros(len(order), np.int64)
     for at in range(1, len(order), 1 << 16):  # in slices: the comparison is as large as the text
-        differ = rows[at: at + (1 << 16)] != rows[at - 1: at - 1 + len(rows[at: at + (1 << 16)])]
-        lcp[at: at + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+        words = rows[order[at - 1: at + (1 << 16)]].view(">u8").astype(np.uint64)
+        differ = words[1:] ^ words[:-1]
+        word = (differ != 0).argmax(axis=1)
+        first = differ[np.arange(len(differ)), word]
+        same = np.zeros(len(differ), np.int64)   # equal bytes at the start of the first word that differs
+        for k in range(1, 8):
+            same += first < (np.uint64(1) << np.uint64(8 * k))
+        lcp[at: at + len(differ)] = np.where(first == 0, length, np.minimum(8 * word + same, length))
     del rows
     back = smaller_neighbour_lengths(ranked, lcp, length)
     ahead = smaller_neighbour_lengths(ranked[::-1], np.concatenate([[0], lcp[:0:-1]]), length)[::-1]
@@ -213,7 +223,10 @@ def pack_blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
     (source.mapInPandas(pack, "block long, doc_ids array<long>, sizes array<int>, keys array<binary>, data binary")
      .write.bucketBy(buckets, "block").option("path", shared_path(spark, "blocks")).option("compression", "zstd")
      .saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved: the files stay, the catalog's entry needn't
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def repeated_texts(blocks: DataFrame) -> DataFrame:
@@ -230,6 +243,48 @@ def repeated_texts(blocks: DataFrame) -> DataFrame:
     return later.groupBy("block").agg(F.sort_array(F.collect_list("nth")).alias("skip"))
 
 
+def same_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each run's text among the distinct ones, and the first run of
+    each: by hash, then byte for byte against the first run."""
+    _, first, text = np.unique(text_keys(data, start, end), return_index=True, return_inverse=True)
+    words, a, b = np.lib.stride_tricks.sliding_window_view(data, 8), start, start[first][text]
+    size = end - start
+    same = size == (end - start)[first][text]
+    for at in range(0, int(size.max(initial=0)), 8):
+        to = np.minimum(at, size - 8)
+        same &= (words[a + to].view(np.uint64) == words[np.minimum(b + to, len(data) - 8)].view(np.uint64)).ravel()
+    if same.all():
+        return text, first
+    number: dict[bytes, int] = {}   # two texts with one hash
+    text = np.array([number.setdefault(data[x:y].tobytes(), len(number)) for x, y in zip(start.tolist(), end.tolist())])
+    return text, np.unique(text, return_index=True)[1]
+
+
+@dataclass
+class Pieces:
+    """Distinct texts (owner, place, bytes, least doc_id) and all occurrences
+    (number of the text, document, first window, windows)."""
+
+    owner: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    least: np.ndarray
+    text: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+
+
+def joined_bytes(data: np.ndarray, at: np.ndarray, length: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+    """The bytes of runs, one behind the other, gathered ``rows`` runs at a time."""
+    widest = int(length.max(initial=0))
+    padded = np.concatenate([data, np.zeros(widest, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, max(widest, 1))
+    inside = np.arange(widest)
+    return np.concatenate([np.zeros(0, np.uint8), *[
+        windows[at[k: k + rows]][inside < length[k: k + rows, None]] for k in range(0, len(at), rows)]])
+
+
 class Block:
     """A block's documents, and the pieces of those that need a search."""
 
@@ -249,38 +304,37 @@ class Block:
                 if len(owner):
                     yield i, owner, start, size
 
-    def shared_pieces(self, shared: np.ndarray, hot: np.ndarray, length: int = LENGTH):
-        """Distinct texts of the pieces with a shared owner, and of the single
-        windows with a hot one, in order of first occurrence: (key of the
-        shard, text, least doc_id) each, and all occurrences (text number,
-        document, first window, windows)."""
-        known: dict[bytes, int] = {}
-        owners, texts, least, found = [], [], [], []
+    def shared_pieces(self, shared: np.ndarray, hot: np.ndarray, length: int = LENGTH) -> Pieces:
+        """The pieces with a shared owner, and the single windows of those with
+        a hot one, by distinct text in order of its key."""
+        owners, starts, sizes, docs = [], [], [], []
         for i, owner, start, size in self.searched():
             if not len(shared):
-                continue
+                break
             hit = shared[np.minimum(np.searchsorted(shared, owner), len(shared) - 1)] == owner
-            at = int(self.starts[i])
-            owner, start, size = owner[hit], start[hit], size[hit]
+            owner, start, size = owner[hit], self.starts[i] + start[hit], size[hit]
             if len(hot) and len(owner):
                 single = hot[np.minimum(np.searchsorted(hot, owner), len(hot) - 1)] == owner
                 many = size[single]
                 nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 first = np.repeat(start[single], many) + nth
-                own = text_keys(self.data, at + first, at + first + length)
+                own = text_keys(self.data, first, first + length)
                 owner, start = np.concatenate([owner[~single], own]), np.concatenate([start[~single], first])
                 size = np.concatenate([size[~single], np.ones(len(first), np.int64)])
-            for h, s, n in zip(owner.tolist(), start.tolist(), size.tolist()):
-                text = self.raw[at + s: at + s + n + length - 1]
-                k = known.setdefault(text, len(known))
-                if k == len(texts):
-                    owners.append(h)
-                    texts.append(text)
-                    least.append(self.ids[i])
-                elif self.ids[i] < least[k]:
-                    least[k] = self.ids[i]
-                found.append((k, i, s, n))
-        return owners, texts, least, found
+            if len(owner):
+                owners.append(owner)
+                starts.append(start)
+                sizes.append(size)
+                docs.append(np.full(len(owner), i))
+        if not owners:
+            nothing = np.zeros(0, np.int64)
+            return Pieces(nothing.astype(np.uint64), nothing, nothing, nothing, nothing, nothing, nothing, nothing)
+        owner, start, size, doc = map(np.concatenate, (owners, starts, sizes, docs))
+        text, first = same_texts(self.data, start, start + size + length - 1)
+        ids = np.array([d if d is not None else 0 for d in self.ids], np.int64)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, text, ids[doc])
+        return Pieces(owner[first], start[first], size[first] + length - 1, least, text, doc, start, size)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -297,6 +351,16 @@ def merged_lists(blobs, kind) -> np.ndarray:
     return np.concatenate([unpacked(bytes(b), kind) for b in blobs])
 
 
+def by_shard(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that owners fall in, with the places of theirs."""
+    shard = (owner % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(shard[at[0]]), at
+
+
 def shared_owners(blocks: DataFrame, shards: int, tasks: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(block, owners, hot): packed owner hashes of the block that two documents
     of the corpus share, and those of them with more than ``hot_texts`` texts."""
@@ -323,11 +387,8 @@ def shared_owners(blocks: DataFrame, shards: int, tasks: int, hot_texts: int = H
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 several = np.maximum.reduceat(d, new) != d[new]
                 h = h[new]
-                shard = (h % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows = [(s, row.block, h[at].tobytes(), np.packbits(several[at]).tobytes(), packed(texts[at]))
-                        for s in range(shards) if len(at := order[cut[s]: cut[s + 1]])]
+                        for s, at in by_shard(h, shards)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "several", "texts"])
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -357,32 +418,31 @@ def shared_owners(blocks: DataFrame, shards: int, tasks: int, hot_texts: int = H
 
 def sent_texts(blocks: DataFrame, shards: int) -> DataFrame:
     """Per (block, shard) the texts to search there: packed text numbers,
-    least doc_ids, sizes and bytes."""
+    least doc_ids, sizes and bytes. With shard -1, once per block, what the
+    last step needs of its pieces: the occurrences, and the texts' least ids.
+    Written, so that pieces are formed once."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                shared = np.sort(merged_lists(row.owners, np.uint64))
-                hot = np.sort(merged_lists(row.hot, np.uint64))
-                owners, texts, least, _ = Block(row).shared_pieces(shared, hot)
-                if not texts:
+                own = Block(row)
+                found = own.shared_pieces(np.sort(merged_lists(row.owners, np.uint64)), np.sort(merged_lists(row.hot, np.uint64)))
+                if not len(found.owner):
                     continue
-                shard = (np.array(owners, np.uint64) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                docs, sizes = np.array(least, np.int64), np.array([len(t) for t in texts], np.int32)
                 rows = []
-                for s in range(shards):
-                    at = order[cut[s]: cut[s + 1]]
-                    if len(at):
-                        rows.append((s, row.block, packed(at.astype(np.int32)), packed(docs[at]), packed(sizes[at]),
-                                     zstandard.compress(b"".join([texts[i] for i in at.tolist()]), 3)))
+                for shard, at in by_shard(found.owner, shards):
+                    text = joined_bytes(own.data, found.at[at], found.length[at])
+                    rows.append((shard, row.block, packed(at.astype(np.int32)), packed(found.least[at]),
+                                 packed(found.length[at].astype(np.int32)), packed(text)))
+                each = np.stack([found.text, found.doc, found.start, found.windows]).astype(np.int32)
+                rows.append((-1, row.block, None, packed(found.least), None, packed(each)))
                 yield pd.DataFrame(rows, columns=["shard", "block", "nth", "docs", "sizes", "texts"])
 
-    return blocks.mapInPandas(send, "shard int, block long, nth binary, docs binary, sizes binary, texts binary")
+    return write_shared(blocks.mapInPandas(
+        send, "shard int, block long, nth binary, docs binary, sizes binary, texts binary"), "copies-pieces")
 
 
-def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
+def earlier_windows(sent: DataFrame, tasks: int) -> DataFrame:
     """(block, marks): packed (text number, window mask) pairs of the windows
     that another block's smaller document holds."""
 
@@ -406,7 +466,7 @@ def earlier_windows(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
                         pairs = np.stack([n[m > 0].astype(np.uint64), m[m > 0]], axis=1)
                         yield pd.DataFrame({"block": [block], "marks": [packed(pairs)]})
 
-    back = (sent_texts(blocks, shards).repartition(tasks, "shard").sortWithinPartitions("shard")
+    back = (sent.where("shard >= 0").repartition(tasks, "shard").sortWithinPartitions("shard")
             .mapInPandas(order, "block long, marks binary"))
     return write_shared(back, "copies-marks").groupBy("block").agg(F.collect_list("marks").alias("marks"))
 
@@ -429,28 +489,30 @@ def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes:
     skipping = blocks.join(repeated_texts(blocks), "block", "left")
     owners = shared_owners(skipping, shards, tasks, hot_texts)
     searching = skipping.join(owners, "block", "left")
-    marks = earlier_windows(searching, shards, tasks)
+    sent = sent_texts(searching, shards)
+    marks = earlier_windows(sent, tasks)
+    placed = sent.where("shard < 0").select("block", F.col("docs").alias("least"), F.col("texts").alias("each"))
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 own = Block(row)
-                shared = np.sort(merged_lists(row.owners, np.uint64))
-                hot = np.sort(merged_lists(row.hot, np.uint64))
-                _, texts, least, found = own.shared_pieces(shared, hot)
-                mask = np.zeros(len(texts), np.uint64)
-                pairs = merged_lists(row.marks, np.uint64).reshape(-1, 2)
-                mask[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
                 edges = np.zeros(len(own.data) + 1, np.int32)
-                if found:
-                    k, i, s, n = np.array(found, np.int64).T
+                if row.each is not None:
+                    k, i, start, n = unpacked(row.each, np.int32).reshape(4, -1).astype(np.int64)
+                    least = unpacked(row.least, np.int64)
+                    mask = np.zeros(len(least), np.uint64)
+                    pairs = merged_lists(row.marks, np.uint64).reshape(-1, 2)
+                    mask[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
                     ids = np.array([d if d is not None else 0 for d in own.ids], np.int64)
-                    bits = np.where(ids[i] > np.array(least, np.int64)[k], ~np.uint64(0), mask[k])
+                    bits = np.where(ids[i] > least[k], ~np.uint64(0), mask[k])
+                    some = np.flatnonzero(bits)
+                    bits, start, n = bits[some], start[some], n[some]
                     for step in range(PIECE):
                         on = ((bits >> np.uint64(step)) & np.uint64(1)).astype(bool) & (step < n)
-                        at = own.starts[i[on]] + s[on] + step
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, at + LENGTH, -1)
+                        at = start[on] + step
+                        edges[at] += 1   # a window occurs once
+                        edges[at + LENGTH] -= 1
                 for i in own.skip:
                     if own.ends[i] - own.starts[i] >= LENGTH:
                         edges[own.starts[i]] += 1
@@ -463,7 +525,7 @@ def earlier_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes:
                     out = pd.DataFrame(rows[at: at + 512], columns=["doc_id", "data", "spans"])
                     yield out.astype({"doc_id": "Int64"})
 
-    return searching.join(marks, "block", "left").mapInPandas(
+    return skipping.join(placed, "block", "left").join(marks, "block", "left").mapInPandas(
         finish, "doc_id long, data binary, spans array<array<long>>")
 
 

@@ -162,7 +162,7 @@ def test_suffix_dedup_spreads_a_hot_passage(spark, frame):
     for hot_texts in (10 ** 9, 50):
         owners = earlier_copies.shared_owners(blocks, 16, 4, hot_texts)
         windows = np.zeros(16)
-        for r in earlier_copies.sent_texts(blocks.join(owners, "block", "left"), 16).collect():
+        for r in earlier_copies.sent_texts(blocks.join(owners, "block", "left"), 16).where("shard >= 0").collect():
             windows[r.shard] += (earlier_copies.unpacked(r.sizes, np.int32) - earlier_copies.LENGTH + 1).sum()
         most[hot_texts] = windows.max() / windows.sum()
     assert most[10 ** 9] > 0.25 and most[50] < 0.125
@@ -175,6 +175,27 @@ def test_distinct_texts():
     assert found.tolist() == [5, 7] and texts.tolist() == [1, 2]
 
 
+def test_texts_with_one_hash_are_told_apart(monkeypatch):
+    data = np.frombuffer(b"0123456789abcdef" * 2 + b"0123456789abcdeX" + b"0123456789", np.uint8)
+    start, end = np.array([0, 16, 32, 48, 0]), np.array([16, 32, 48, 58, 10])
+    for _ in range(2):
+        text, first = earlier_copies.same_texts(data, start, end)
+        groups = [sorted(np.flatnonzero(text == k).tolist()) for k in range(len(first))]
+        assert sorted(groups) == [[0, 1], [2], [3, 4]] and sorted(first.tolist()) == [0, 2, 3]
+        monkeypatch.setattr(earlier_copies, "text_keys", lambda d, s, e: np.zeros(len(s), np.uint64))
+    joined = earlier_copies.joined_bytes(data, start, end - start, rows=2)
+    assert joined.tobytes() == b"".join(data[a:b].tobytes() for a, b in zip(start, end))
+
+
+def test_neighbours_common_prefixes():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 2, 400).astype(np.uint8)
+    starts, rank = np.arange(351), rng.integers(0, 9, 351)
+    rows = [text[a: a + 50].tobytes() for a in starts]
+    got = earlier_copies.earlier_factor_lengths(text, starts, rank, 50)
+    assert got.tolist() == [50 if any(r == q and rank[j] < rank[i] for j, q in enumerate(rows)) else 0 for i, r in enumerate(rows)]
+
+
 def test_suffix_dedup_tasks_grow_with_input(spark, frame):
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert earlier_copies.tasks_for(spark, 0) == few
@@ -204,11 +225,13 @@ def test_secrets_twin(spark, frame, tmp_path):
     key, token = "AKIA" + "Z" * 12, "A1b2" * 10
     docs = [(10, f"password = 'hunter2hunter' {key} secret:abc"), (11, "token=secret:abcdefghi"), (12, "token: abcd"),
             (13, f"user=bob token: abcd https://h.example/x {'0a' * 9}"), (14, f"{token} " + "é" * 300 + key),
-            (15, f"{token} é {key}"), (16, "https://h.example/x " + " " * 250 + " pass"), (17, "API_KEY==" + "f" * 40), *EDGE]
+            (15, f"{token} é {key}"), (16, "https://h.example/x " + " " * 250 + " pass"), (17, "API_KEY==" + "f" * 40), *EDGE,
+            (18, "pa\u017f\u017fword = 'hunter2hunter' to\u212aen=secretsecret"), (19, "PaSsWoRd = 'hunter2hunter' ToKeN=longvalue")]
     got, want = twin(spark, tmp_path, frame(docs), secret_links.secret_report, secret_links.SECRET_REPORT_SQL)
     assert got == want
     spans = {r.doc_id: r.spans for r in secret_links.secret_report(frame(docs)).collect()}
     assert "bare" in spans[15] and "bare" not in spans[14]      # linked within the scope only
+    assert spans[18] == "" and spans[19].count("assign") == 2   # letters of either case are ASCII ones
     assert spans[12] == "" and "assign" in spans[13] and "user" in spans[13] and "endpoint" in spans[13]
 
 
@@ -275,7 +298,7 @@ def test_classifiers_held_out(spark, query, label):
     rows = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     truth, said = np.array([r[label] for r in rows]), np.array([r.predicted for r in rows])
     for v in (0, 1):
-        assert (said[truth == v] == v).mean() >= (0.97 if label == "quality" or v == 0 else 0.6)
+        assert (said[truth == v] == v).mean() >= (0.97 if label == "quality" or v == 0 else 0.95)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
