@@ -152,8 +152,9 @@ class Matcher:
         """Edits of the words that match."""
         if not self.lexicon.terms:
             return {}
-        if len(self.clean) > CACHE_WORDS:
+        if len(self.clean) + len(self.toxic) > CACHE_WORDS:   # stems match endless words
             self.clean.clear()
+            self.toxic.clear()
         found = {}
         for w in words.difference(self.clean):
             if w not in self.toxic:

@@ -219,3 +219,56 @@ def test_quality_score_equals_plain_features():
     got = quality.log_odds(texts, table, 0.25)
     assert got == pytest.approx([plain_score(t, table, 0.25, 12) for t in texts], abs=1e-6)
     assert quality.log_odds([None], table, 0.25).tolist() == [0.25]
+
+
+# ---- 10: the score, from plain edit distances ----
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_edits(word, lexicon):
+    found = []
+    for term, stem in lexicon.terms:
+        most = 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        d = min(distance(word[:n], term) for n in range(len(word) + 1)) if stem else distance(word, term)
+        found += [d] if d <= most else []
+    best = min(found, default=None)
+    return None if best and word in lexicon.benign else best
+
+
+def plain_toxicity(text, model):
+    low, lexicon, out = (text or "").lower(), model.lexicon, np.zeros(8)
+    spans = list(re.finditer(r"[^\W_]+", low))
+    words = [m[0] for m in spans]
+    hits = [(k, e) for k, w in enumerate(words) if (e := plain_edits(w, lexicon)) is not None]
+    for k, e in hits:
+        near, before = set(words[max(0, k - 6): k + 7]), set(words[max(0, k - 6): k])
+        left, right = low[max(0, spans[k].start() - 2): spans[k].start()], low[spans[k].end(): spans[k].end() + 2]
+        marks = any(q in left for q in toxicity.QUOTES) and any(q in right for q in toxicity.QUOTES)
+        quoted = marks or bool(before & toxicity.REPORTING)
+        out[2 * quoted + (e > 0)] += 1
+        out[4] += bool(near & toxicity.ADDRESS) and not quoted
+    if hits:
+        out[5], out[6], out[7] = min(len(hits) / len(words) * 20, 3.0), out[0] > 0, out[0] + out[1] > 0
+        out[:5] = np.log1p(out[:5])
+    return 1 / (1 + np.exp(-(out @ model.weights[:-1] + model.weights[-1])))
+
+
+def test_toxicity_score_equals_plain_distances(spark):
+    rng = np.random.default_rng(9)
+    lexicon = toxicity.Lexicon([("scumbag", True), ("vile", False), ("worthless", False), ("idiot", True)], {"idiom"})
+    model = toxicity.Model(lexicon, rng.normal(size=9))
+    pool = ["you", "scumbag", "scumbags", "scambag", "vile", "vila", "worthles", "wortless", "wrthles", "idiot", "idiotic", "idiom",
+            "he", "said", '"idiot"', "«vile»", "fine", "words", "dich", "x" * 40, "É1", "a_b"]
+    texts = [None, "", "   ", *[" ".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(120)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = toxicity.with_score(docs, model).orderBy("doc_id").collect()
+    want = [plain_toxicity(t, model) for t in texts]
+    assert [r.score for r in rows] == pytest.approx(want, abs=1e-12)
+    assert [r.predicted for r in rows] == [int(v >= 0.5) for v in want]
