@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators.archetypes import attach_archetype, site_archetypes
+from ..operators.archetypes import ARCH, attach_archetype, site_archetypes
 from ..operators.blocking import blocked_features
 from ..operators import features as FE
 from ..operators import metrics as M
@@ -132,8 +132,13 @@ COVERS = {
 HOLDOUT_DAYS = 61
 
 
-def featured_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def featured_meter(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """The meter table with its sites' archetypes, as far as the features
+    ``names`` (default all) depend on them: without that no site means are
+    computed and the input is read once."""
     meter = meter_view(spark, sf_dir)
+    if names is not None and not any(n.startswith("archetype_") for n in names):
+        return meter.withColumn(ARCH, F.lit(None).cast("string"))
     return attach_archetype(meter, site_archetypes(meter))
 
 
@@ -145,14 +150,13 @@ BLOCKED = ["power_lag_144", "temp_diff_96", "power_roll_min_96", "power_roll_max
 
 def q_blocked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over small blocks with a short halo: many blocks per site."""
-    feats = blocked_features(featured_meter(spark, sf_dir), keep=BLOCKED, block_rows=200, halo=150)
+    feats = blocked_features(featured_meter(spark, sf_dir, BLOCKED), keep=BLOCKED, block_rows=200, halo=150)
     return present(feats.select(C.SITE, C.ROW_ID, *[F.col(f"`{n}`") for n in BLOCKED]), LOOSE)
 
 
 def family_query(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        mm = featured_meter(spark, sf_dir)
-        feats = blocked_features(mm, keep=names)
+        feats = blocked_features(featured_meter(spark, sf_dir, names), keep=names)
         return present(feats.select(C.SITE, C.ROW_ID, *[F.col(f"`{n}`") for n in names]), LOOSE)
     return run
 
@@ -279,7 +283,7 @@ IMPUTED = [*C.RAW_NUMERIC, "power_lag_144", "power_diff_672", "rad_diff_24", "ho
 def q_imputation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12, with a sketch fine enough to be exact on the check tables."""
     from .models import medians
-    feats = blocked_features(featured_meter(spark, sf_dir), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
+    feats = blocked_features(featured_meter(spark, sf_dir, IMPUTED), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
     return present(medians(feats, IMPUTED, accuracy=1_000_000))
 
 
@@ -394,7 +398,7 @@ def q_fold_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8, M12: medians of the training side of every time fold from merged
     sketches, large enough to be exact on the check tables."""
     from .tuning import fold_medians, time_folds
-    feats = blocked_features(featured_meter(spark, sf_dir), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
+    feats = blocked_features(featured_meter(spark, sf_dir, IMPUTED), keep=[n for n in IMPUTED if n not in C.RAW_NUMERIC])
     return present(fold_medians(time_folds(feats, 3), IMPUTED, 3, sketch=32_768))
 
 
