@@ -39,9 +39,9 @@ from loadshape.llm.shared import bound_batches, free_name
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 #: Bytes of words and their ids that a worker keeps, about.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry of the cache takes beside its characters and ids.
-ENTRY_BYTES = 150
+ENTRY_BYTES = 230
 CALL_CHARS = 200_000
 
 ENCODED = T.StructType([
