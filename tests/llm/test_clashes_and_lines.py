@@ -272,3 +272,19 @@ def test_toxicity_score_equals_plain_distances(spark):
     want = [plain_toxicity(t, model) for t in texts]
     assert [r.score for r in rows] == pytest.approx(want, abs=1e-12)
     assert [r.predicted for r in rows] == [int(v >= 0.5) for v in want]
+
+
+def test_words_learned_together_or_again_have_their_own_ids():
+    """Words met again outlive a full cache, and new ones are encoded several to a text."""
+    codec = sentencepieces.Codec(sentencepieces.MODEL, cache_bytes=60_000)
+    asked = []
+    plain = codec._encode
+    codec._encode = lambda texts: (asked.append(list(texts)), plain(texts))[1]
+    texts = [f"common wörter {'x' * (k % 5)}  two{k} ▁mark{k} 日本{k}\t<0x41>\n{k * 7919} ​ a▁▁b{k} " for k in range(600)]
+    for text in texts:
+        (ids, same), = codec.encode([text])
+        assert ids.tolist() == codec.backend.encode(text, add_special_tokens=False).ids
+        assert same == (ids.tolist() == codec.judge.encode(text))
+    assert codec.held < 60_000 and codec.older
+    sent = [t for texts in asked for t in texts]
+    assert sum("common" in t for t in sent) == 1 and any(" " in t for t in sent)
